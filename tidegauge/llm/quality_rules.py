@@ -27,7 +27,7 @@ class Bands:
     their own length."""
 
     starts: tuple[int, ...] = (64, 128, 256, 512, 1024, 2048, 8192, 32768)
-    low: tuple[float, ...] = (0.30, 0.28, 0.25, 0.22, 0.20, 0.18, 0.15, 0.12)
+    low: tuple[float, ...] = (0.45, 0.42, 0.38, 0.36, 0.33, 0.30, 0.28, 0.25)
     high: tuple[float, ...] = (1.25, 1.12, 1.02, 0.92, 0.85, 0.80, 0.76, 0.74)
     chunk_bytes: int = 4096
     max_bad_chunks: float = 0.5
