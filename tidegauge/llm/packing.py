@@ -9,7 +9,9 @@ sequences, first fit by decreasing length.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +24,8 @@ from .common import shared_checkpoint
 
 #: Pieces that a worker's share aims at.
 SHARE = 40_000
-#: Chunks of text whose ids a worker remembers at most.
-REMEMBERED = 250_000
+#: Chunks whose ids a worker remembers at most.
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -36,38 +38,77 @@ class Settings:
     least_cut: int = 128
 
 
+#: Fixed: how a byte-level BPE cuts a text before it merges, and its stand-ins for bytes that are no printable
+#: characters (the printable ones of Latin-1 stand for themselves, the others count up from 256).
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+STANDINS = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+PROBE = "It's 10 %%% naïve\nlines\n\n of\ttext , été 東京!? a\u00a0b \n c don't"
+
+
+def _merger(path: str):
+    """The encoder of the library tiktoken over the file's vocabulary, or None if its ids don't follow the order of
+    its merges, which that library goes by."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    vocab, merges = own["model"]["vocab"], [x if isinstance(x, list) else x.split(" ") for x in own["model"]["merges"]]
+    if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    back = {c: b for b, c in STANDINS.items()} | {chr(b): b for b in _PRINTABLE}
+    special = {x["content"] for x in own.get("added_tokens", [])}
+    ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+class _Chunks(dict):
+    """From a text's chunk between two blanks, without them, to the ids of blank and chunk."""
+
+    def __init__(self, encode):
+        self.ids = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = array("I", self.ids(" " + chunk)).tobytes()
+        if len(chunk) <= 32 and "\n" not in chunk:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class ChunkTokenizer:
-    """Ids of whole texts. The pre-tokenizer of a byte-level BPE never joins what a single blank parts, so a text is
-    cut at its blanks and the ids of the chunks, which repeat, are remembered. Texts with two blanks in a row, where
-    that doesn't hold, are encoded as they are."""
+    """Ids of whole texts, as the tokenizer's ``encode`` gives them. A byte-level BPE never joins what a single blank
+    parts, so a text is cut at its blanks and the ids of the chunks, which repeat, are remembered; new chunks are merged
+    over the same vocabulary by a faster library. Where that doesn't hold (two blanks in a row, a special token's name
+    in the text, or a tokenizer of another kind, as its file and a probe show) the text is encoded as it is."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, four little-endian bytes each."""
-        plain = [None if "  " in x else x.split(" ") for x in texts]
-        wanted = set()
-        for parts in plain:
-            if parts:
-                wanted.update(parts[1:])
-        new = [x for x in wanted if x not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(wanted)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for x, e in zip(some, self.inner.encode_batch_fast([" " + x for x in some], add_special_tokens=False)):
-                self.known[x] = np.array(e.ids, "<u4").tobytes()
-        out = []
-        for text, parts in zip(texts, plain):
-            whole = text if parts is None else parts[0]
-            head = np.array(self.inner.encode(whole, add_special_tokens=False).ids, "<u4").tobytes() if whole else b""
-            out.append(head if parts is None else head + b"".join(map(self.known.__getitem__, parts[1:])))
-        return out
+        self.special = [x.content for x in self.inner.get_added_tokens_decoder().values()]
+        try:
+            merger = _merger(path)
+        except (KeyError, ValueError, TypeError):  # a file of another kind
+            merger = None
+        self.chunks = _Chunks(merger.encode_ordinary) if merger else None
+        self.chunked = bool(merger) and self._by_chunks(PROBE) == self._plain(PROBE)
+
+    def _plain(self, text: str) -> bytes:
+        return array("I", self.inner.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _by_chunks(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        return array("I", self.chunks.ids(first)).tobytes() + b"".join(map(self.chunks.__getitem__, rest))
+
+    def encode(self, text: str) -> bytes:
+        """The ids, four little-endian bytes each."""
+        if not text:
+            return b""
+        if not self.chunked or "  " in text or any(x in text for x in self.special):
+            return self._plain(text)
+        return self._by_chunks(text)
 
 
 def cuts(n: int, settings: Settings) -> list[int]:
@@ -93,7 +134,7 @@ def pieces(df: DataFrame, settings: Settings, text_col: str = "text", id_col: st
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 docs, rows = [], []
-                for i, ids in enumerate(tokenizer.encode([x or "" for x in part.column(1).to_pylist()])):
+                for i, ids in enumerate(tokenizer.encode(x or "") for x in part.column(1).to_pylist()):
                     ids += end
                     start, total = 0, len(ids) // 4
                     for n in cuts(total, settings):
