@@ -118,15 +118,19 @@ class CrossParser:
         offset = np.arange(n_langs)[:, None] * self.width
         for a in range(0, len(owner), 4096):
             part = np.ascontiguousarray(flat[a : a + 4096].T).astype(np.int32)
-            state = np.repeat(self.starts[:, None], part.shape[1], axis=1)
+            starts = self.starts[:, None]
+            state = np.repeat(starts, part.shape[1], axis=1)
             count = np.zeros(state.shape, np.int32)
             roots = self.roots.ravel()
             for c in part:
                 new = self.table.take(state * self.width + c)
                 ended = new < 0
-                count += ended
-                state = np.where(ended, roots.take(offset + c), new)
-            count += state != self.starts[:, None]
+                after = np.where(ended, roots.take(offset + c), new)
+                # the phrase before ends; a byte that no sample has is a phrase of its own
+                count += (ended & (state != starts)).view(np.uint8)
+                count += (ended & (after == starts)).view(np.uint8)
+                state = after
+            count += state != starts
             np.add.at(out, owner[a : a + 4096], count.T)
         return out
 
