@@ -127,6 +127,25 @@ def top_k_overlap(df: DataFrame, k: int, date: str = "date", instrument: str = "
     return both.groupBy("model_a", "model_b").agg(F.avg(F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))).alias("overlap"))
 
 
+def pooled_rank_correlation(df: DataFrame, signal: str, target: str, keys: list[str]) -> DataFrame:
+    """Spearman correlation over all rows of the keys; ranks come from counts of distinct values."""
+    d = df.filter(F.col(signal).isNotNull() & F.col(target).isNotNull())
+    d = average_rank(average_rank(d, signal, keys, "__a"), target, keys, "__b")
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), guarded_corr("__a", "__b").alias("rank_corr"))
+
+
+def per_date_diversity(df: DataFrame, k: int, date: str = "date", instrument: str = "instrument", model: str = "model_id", value: str = "prediction") -> DataFrame:
+    """Per date the mean over model pairs of Pearson and rank correlation and of the likeness of their top k."""
+    d = average_rank(df, value, [date, model], "__r")
+    w = Window.partitionBy(date, model).orderBy(F.desc(value), instrument)
+    d = d.withColumn("__t", F.when(F.row_number().over(w) <= k, F.col(instrument)))
+    a, b = (d.select(date, instrument, F.col(model).alias(f"m{i}"), F.col(value).alias(f"v{i}"), F.col("__r").alias(f"r{i}"), F.col("__t").alias(f"t{i}")) for i in (1, 2))
+    both = a.join(b, [date, instrument]).filter("m1 < m2")
+    common, any_ = F.count(F.when(F.col("t1").isNotNull() & F.col("t2").isNotNull(), 1)), F.count(F.when(F.col("t1").isNotNull() | F.col("t2").isNotNull(), 1))
+    pairs = both.groupBy(date, "m1", "m2").agg(guarded_corr("v1", "v2").alias("c"), guarded_corr("r1", "r2").alias("s"), ratio(common.cast("double"), any_.cast("double")).alias("o"))
+    return pairs.groupBy(date).agg(F.avg("c").alias("mean_corr"), F.avg("s").alias("mean_rank_corr"), F.avg("o").alias("mean_overlap"))
+
+
 def redundant_pairs(pairs: DataFrame, corr: float = 0.99, rank: float = 0.99, overlap: float = 0.95) -> DataFrame:
     return pairs.filter((F.abs("corr") >= corr) | (F.abs("rank_corr") >= rank) | (F.col("overlap") >= overlap))
 

@@ -13,6 +13,7 @@ from ..operators import ledger as L
 from ..operators import models as M
 from ..operators import panel as P
 from ..operators import portfolio as V
+from ..operators import regimes as H
 from ..operators import rolling as R
 from ..operators import selection as S
 from ..operators import splits as T
@@ -562,14 +563,18 @@ CASE WHEN rv > z THEN 'high_vol' WHEN trend < -0.01 THEN 'bear' WHEN trend > 0.0
 def regime_classes(spark, d):
     """Trend by summed log returns, volatility by expanding terciles, and the class of both, for three series."""
     w = R.series(KEYS, ORDER)
-    r = _returns(spark, d).filter("instrument <= 3 AND r IS NOT NULL")
-    f = R.trailing(w, 20)
-    x = r.select("instrument", "date", F.sum(F.log1p(F.greatest("r", F.lit(-0.9)))).over(f).alias("t"), F.log(F.greatest(F.sqrt(252.0 / 20 * F.sum(F.col("r") * F.col("r")).over(f)), F.lit(1e-12))).alias("rv"))
-    x = x.withColumn("q", F.percentile("rv", F.array(F.lit(1.0 / 3), F.lit(2.0 / 3))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    trend = F.when(F.col("t") > 0.01, "hi").when(F.col("t") < -0.01, "lo").otherwise("flat")
-    vol = F.when(F.col("rv") <= F.col("q")[0], "lo").when(F.col("rv") <= F.col("q")[1], "med").otherwise("hi")
-    x = x.withColumns({"trend": trend, "vol": vol})
-    return x.select("instrument", "date", "trend", "vol", F.when(F.col("vol") == "hi", "high_vol").when(F.col("trend") == "lo", "bear").when(F.col("trend") == "hi", "bull").otherwise("sideways").alias("regime"))
+    r = _returns(spark, d).filter("instrument <= 3 AND r IS NOT NULL").withColumn("r9", F.greatest("r", F.lit(-0.9)))
+    x = r.select("instrument", "date", H.trend_regime("r9", w).alias("trend"), H.annual_log_volatility("r", w).alias("rv"))
+    x = x.withColumn("vol", H.volatility_regime("rv", w))
+    return x.select("instrument", "date", "trend", "vol", H.regime_class("trend", "vol").alias("regime"))
+
+
+@query("change_states")
+def change_states(spark, d):
+    from ..operators.sequential import bocpd, scan
+
+    r = scan(_returns(spark, d).filter("instrument <= 20").withColumnRenamed("r", "x"), KEYS, ORDER, ["change_probability", "run_length"], lambda p: bocpd(p["x"].to_numpy(float), longest=50))
+    return r.select("instrument", "date", H.change_state("change_probability", "change_probability").alias("state"))
 
 
 @query("metric_parity", "SELECT o_orderstatus, 0.0::DOUBLE AS delta_total, true AS within FROM orders GROUP BY 1")
@@ -737,3 +742,38 @@ def failover_source(spark, d):
 @query("unite_fetched", "SELECT n_nationkey AS k, 'nation' AS ticker FROM nation UNION ALL SELECT r_regionkey, 'region' FROM region")
 def unite_fetched(spark, d):
     return readers.unite_fetched({"nation": table(spark, d, "nation").select(F.col("n_nationkey").alias("k")), "broken": ValueError("no"), "region": table(spark, d, "region").select(F.col("r_regionkey").alias("k"))})
+
+
+@query("hashed_embedding", "SELECT item_id, 1.0::DOUBLE AS norm FROM benchmark")
+def hashed_embedding(spark, d):
+    from ..functions.text_models import hashed_embedding as embed
+
+    e = embed(table(spark, d, "benchmark"), "text", 128)
+    return e.select("item_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+@query("topics")
+def topics(spark, d):
+    from ..functions.text_models import topics as find
+
+    return find(table(spark, d, "benchmark"), "text", 3).select("item_id", "topic")
+
+
+@query("pooled_rank_correlation", f"""WITH {PREDICTIONS}, k AS (SELECT model_id, split, rank() OVER (PARTITION BY model_id, split ORDER BY prediction) + (count(*) OVER (PARTITION BY model_id, split, prediction) - 1) / 2 AS a, rank() OVER (PARTITION BY model_id, split ORDER BY forward_return) + (count(*) OVER (PARTITION BY model_id, split, forward_return) - 1) / 2 AS b FROM predictions WHERE prediction IS NOT NULL) SELECT model_id, split, count(*) AS n, round(corr(a, b) + 1.3e-9, 6) AS rank_corr FROM k GROUP BY 1, 2""")
+def pooled_rank_correlation(spark, d):
+    return _six(A.pooled_rank_correlation(predictions(spark, d), "prediction", "forward_return", ["model_id", "split"]), "model_id", "split", "n", rank_corr="rank_corr")
+
+
+@query("per_date_diversity", f"""WITH {PREDICTIONS}, r AS (SELECT *, rank() OVER (PARTITION BY date, model_id ORDER BY prediction) + (count(*) OVER (PARTITION BY date, model_id, prediction) - 1) / 2 AS r, row_number() OVER (PARTITION BY date, model_id ORDER BY prediction DESC, instrument) <= 5 AS t FROM predictions),
+p AS (SELECT a.date, a.model_id AS m1, b.model_id AS m2, count(*) AS n, var_pop(a.prediction) AS va, var_pop(b.prediction) AS vb, covar_pop(a.prediction, b.prediction) AS c, var_pop(a.r) AS ra, var_pop(b.r) AS rb, covar_pop(a.r, b.r) AS rc, count(*) FILTER (a.t AND b.t) AS o, count(*) FILTER (a.t OR b.t) AS u FROM r a JOIN r b ON a.date = b.date AND a.instrument = b.instrument AND a.model_id < b.model_id GROUP BY 1, 2, 3)
+SELECT date, round(avg(CASE WHEN n >= 3 AND va > 0 AND vb > 0 THEN c / sqrt(va * vb) ELSE 0 END) + 1.3e-9, 6) AS mean_corr, round(avg(CASE WHEN n >= 3 AND ra > 0 AND rb > 0 THEN rc / sqrt(ra * rb) ELSE 0 END) + 1.3e-9, 6) AS mean_rank_corr, round(avg(o / u) + 1.3e-9, 6) AS mean_overlap FROM p GROUP BY 1""")
+def per_date_diversity(spark, d):
+    return _six(A.per_date_diversity(predictions(spark, d), 5), "date", mean_corr="mean_corr", mean_rank_corr="mean_rank_corr", mean_overlap="mean_overlap")
+
+
+@query("anonymizers", "SELECT c_custkey, regexp_replace(c_name, '(?s).', '#', 'g') AS c_name, sha256('s' || c_mktsegment) AS c_mktsegment FROM customer")
+def anonymizers(spark, d):
+    from ..plans.registry import anonymize
+
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return anonymize(anonymize(c, ["c_name"], "masking", mark="#"), ["c_mktsegment"], "salted", salt="s")
