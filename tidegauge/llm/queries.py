@@ -108,7 +108,7 @@ def _sharding_sql() -> str:
         for _ in range(8):
             n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
         entries.append(n)
-    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(text))), lambda i: ('0x' || substring(h, (2 * i + 1)::INT, 2))::BIGINT)), lambda c, b: xor(c >> 8, {entries}[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, {entries}[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
 
     def best(n: int) -> str:
         costs = ", ".join(f"{{'cost': -ln((('0x' || substring(md5(name || ':{i}'), 1, 13))::BIGINT + 0.5::DOUBLE) / {1 << 52}::DOUBLE), 'shard': {i}}}" for i in range(n))
