@@ -121,6 +121,25 @@ def _sharding_sql() -> str:
     SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM s"""
 
 
-ORACLE_SQL = {"op8_rendezvous": _sharding_sql(), "op9_merkle": _merkle_sql()}
+def _mixing_sql() -> str:
+    """The exponent that just keeps to the limit has a closed form, which stands in for the bisection."""
+    limit, n = source_mixing.Target().repetition_limit, source_mixing.Target().blocks
+    return f"""
+    WITH d AS (SELECT doc_id, source, coalesce('+' || source, '-') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) + 1 AS tokens, md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')) AS h FROM documents),
+    k AS (SELECT *, ('0x' || substring(h, 1, 6))::BIGINT % {n} AS block FROM d),
+    blocks AS (SELECT src, block, sum(tokens)::BIGINT AS size FROM k GROUP BY 1, 2), totals AS (SELECT src, sum(size)::BIGINT AS total FROM blocks GROUP BY 1),
+    e AS (SELECT CASE WHEN max(total) <= {limit} * min(total) THEN 0.0::DOUBLE ELSE 1 - ln({limit}) / ln(max(total)::DOUBLE / min(total)) END AS e, max(total)::DOUBLE AS largest FROM totals),
+    s AS (SELECT e, sum(pow(total::DOUBLE, e)) AS s, floor(sum(pow(total::DOUBLE, e)) * pow(any_value(largest), 1 - e) + 0.5) AS budget FROM totals, e GROUP BY e),
+    p AS (SELECT src, total, e, pow(total::DOUBLE, e) / s AS weight, floor(pow(total::DOUBLE, e) / s * budget + 0.5)::BIGINT AS share FROM totals, s),
+    r AS (SELECT b.src, block, size, weight, e, share // total AS whole, share % total AS part, sum(size) OVER (PARTITION BY b.src ORDER BY md5(b.src || ':' || (share // total + 1) || ':' || block)) AS upto FROM blocks b JOIN p USING (src)),
+    t AS (SELECT *, part - upto + size AS room FROM r),
+    c AS (SELECT k.src, k.block, k.h, room, sum(tokens) OVER (PARTITION BY k.src, k.block ORDER BY h) AS upto FROM k JOIN t ON t.src = k.src AND t.block = k.block WHERE room > 0 AND room < size),
+    l AS (SELECT src, block, max(h) AS last FROM c WHERE upto <= room GROUP BY 1, 2),
+    f AS (SELECT t.src, t.block, weight, e, whole, CASE WHEN room >= size THEN 'g' WHEN room > 0 THEN coalesce(l.last, '') ELSE '' END AS last FROM t LEFT JOIN l ON l.src = t.src AND l.block = t.block),
+    g AS (SELECT *, unnest(range(1, whole + 2)) AS pass FROM f), o AS (SELECT *, row_number() OVER (PARTITION BY src, pass ORDER BY md5(src || ':' || pass || ':' || block)) AS rank FROM g)
+    SELECT doc_id, source, pass AS mix_pass, k.block AS mix_block, rank AS mix_rank, tokens AS mix_tokens, round(weight, 6) AS mix_weight, round(e, 6) AS mix_exponent FROM k JOIN o ON o.src = k.src AND o.block = k.block WHERE pass <= whole OR h <= last"""
+
+
+ORACLE_SQL = {"op6_temperature_mixing": _mixing_sql(), "op8_rendezvous": _sharding_sql(), "op9_merkle": _merkle_sql()}
 
 __all__ = ["ORACLE_SQL", "QUERIES", "held_out", "tokenizer_path"]
