@@ -67,7 +67,7 @@ def guarded_corr(x, y, least: int = 3) -> Column:
     x, y = (F.col(v) if isinstance(v, str) else v for v in (x, y))
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
-    return F.when((F.count(a) >= least) & (F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.corr(a, b)).otherwise(0.0)
+    return F.when((F.count(a) >= least) & (F.var_pop(a) > 0) & (F.var_pop(b) > 0), ratio(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))).otherwise(0.0)
 
 
 def information_coefficients(df: DataFrame, signal: str, target: str, keys: list[str], date: str = "date", least: int = 3) -> DataFrame:
