@@ -154,8 +154,8 @@ def average_rank(df: DataFrame, x: str, keys: list[str], out: str, percent: bool
     """Ranks from 1 within the keys, equal values sharing the mean of their ranks; null for null."""
     some = F.col(x).isNotNull()
     n = F.count(x).over(Window.partitionBy(*keys))
-    first = F.rank().over(Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last()))
-    rank = first + (F.count("*").over(Window.partitionBy(*keys, x)) - 1) / 2
+    w = Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last())  # one order serves the rank and the peers
+    rank = F.rank().over(w) + (F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
     return df.withColumn(out, F.when(some & (n >= least), rank / n if percent else rank))
 
 
