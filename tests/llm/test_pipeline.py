@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidegauge.llm import packing, quality_classifier, secret_scan
+from tidegauge.llm import packing, quality_classifier, secret_scan, simhash_dedup
 from tidegauge.llm.common import DOCUMENT_COLUMNS
 from tidegauge.llm.queries import tokenizer_path
 
-from .test_text_operators import slow_components, slow_fingerprint
+from .test_text_operators import shingle_set, slow_components, slow_long_fingerprint
 
 
 def rows(df):
@@ -35,9 +35,16 @@ def test_stages(spark, data, tmp_path):
     assert rows(kept[0]) == want
     # near duplicates
     ids = [r[0] for r in want]
-    comp = slow_components([slow_fingerprint(r[1]) for r in want], ids)
-    want = [r for r, c in zip(want, comp) if r[0] == c]
+    of = simhash_dedup.Similarity()
+    comp = slow_components([slow_long_fingerprint(r[1], of) for r in want], ids, of.budget)
+    before, want = want, [r for r, c in zip(want, comp) if r[0] == c]
     assert rows(kept[1]) == want and len(want) < len(comp)
+    sets = {r[0]: shingle_set(r[1], of.shingle_words) for r in before}
+    likeness = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+    left = [r[0] for r in want]
+    assert all(likeness(a, b) < of.least for i, a in enumerate(left) for b in left[:i])
+    gone = [i for i in ids if i not in set(left)]
+    assert all(max(likeness(a, b) for b in ids if b != a) > 0.5 for a in gone)
     # secrets
     b = secret_scan.Battery()
     masked = [secret_scan.redact(r[1], secret_scan.all_spans(r[1], b, secret_scan.candidate_pattern(b))[1], "[SECRET]") for r in want]

@@ -48,6 +48,8 @@ def words(text):
 RUNS = {
     "op1": lambda s, d: quality_rules.quality_rules(d),
     "op2": lambda s, d: simhash_dedup.near_duplicates(d),
+    "op2_similar": lambda s, d: simhash_dedup.similar_documents(d),
+    "op2_keep_similar": lambda s, d: simhash_dedup.keep_one_of_each(d, find=simhash_dedup.similar_documents),
     "op2_keep": lambda s, d: simhash_dedup.keep_one_of_each(d),
     "op3": lambda s, d: language_id.identify_languages(d),
     "op4": lambda s, d: secret_scan.scan_secrets(d),
@@ -64,7 +66,7 @@ RUNS = {
 @pytest.mark.parametrize("name", RUNS)
 def test_awkward_rows(spark, awkward, name):
     rows = RUNS[name](spark, awkward).collect()
-    if name == "op2_keep":
+    if name.startswith("op2_keep"):
         assert len(rows) < awkward.count() and {r["doc_id"] for r in rows} >= {1, 4, 5, 7, 9, 10}
     elif name == "op10":
         assert Counter(r["doc_id"] for r in rows if r["start"] == 0) == Counter(r["doc_id"] for r in awkward.collect())
@@ -82,7 +84,7 @@ def test_empty_table(spark, awkward, name):
 def test_all_null_columns(spark):
     df = spark.createDataFrame([(None, None, None, None, None)] * 3, SCHEMA)
     for name, f in RUNS.items():
-        assert f(spark, df).count() in ((1, 3) if name == "op2_keep" else (3,))
+        assert f(spark, df).count() in ((1, 3) if name.startswith("op2_keep") else (3,))
 
 
 # 1 ------------------------------------------------------------------------------------------------------------------
@@ -156,6 +158,58 @@ def test_near_duplicates_against_all_pairs(docs, plain):
     assert {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in got} == want
 
 
+def shingle_set(text, k):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def slow_long_fingerprint(text, of):
+    """Bit by bit with Python's integers."""
+    import xxhash
+
+    words, mask = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()), (1 << 64) - 1
+    k, out = of.shingle_words, 0
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))] if words else []
+    for w in range(of.bits // 64):
+        ones = [0] * 64
+        for h in hashes:
+            x = (h + (w + 1) * 0x9E3779B97F4A7C15) & mask
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+            x ^= x >> 31
+            for b in range(64):
+                ones[b] += x >> b & 1
+        out |= sum(1 << b for b in range(64) if 2 * ones[b] > len(hashes)) << 64 * w
+    return out
+
+
+def test_long_fingerprints_bit_by_bit():
+    of = simhash_dedup.Similarity()
+    for text in (None, "", " \n", "one", "A b\tC d", " ".join(f"w{i % 700}" for i in range(6000))):
+        assert int.from_bytes(simhash_dedup.long_fingerprint(text, of), "little") == slow_long_fingerprint(text, of)
+
+
+@pytest.mark.parametrize("most", [8, 4096])
+def test_similar_documents_are_found(spark, most):
+    """Copies with changed words at a similarity of 0.8 and more are found; texts with half in common stay apart."""
+    rng, rows, group = np.random.default_rng(5), [], {}
+    for base in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for copy in range(6):
+            new = list(words)
+            for at in (np.arange(5) * 60 + int(rng.integers(0, 50)))[: copy + (copy > 0) if copy < 5 else 5].tolist():
+                new[at] = f"x{rng.integers(0, 5000)}"
+            rows.append((len(rows), " ".join(new)))
+            group[rows[-1][0]] = base
+        rows.append((len(rows), " ".join(words[:200] + [f"y{x}" for x in rng.integers(0, 5000, 100)])))  # 0.5
+        group[rows[-1][0]] = -base - 1
+    got = simhash_dedup.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()
+    first = {}
+    for i, g in group.items():
+        first.setdefault(g, i)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: first[g] for i, g in group.items()}
+
+
 @pytest.mark.parametrize("most", [4, 16, 4096])
 def test_dense_groups_lose_no_link(spark, most):
     """Oversized nodes are cut, at every level, without losing a link."""

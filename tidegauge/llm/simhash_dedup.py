@@ -9,10 +9,18 @@ budget agree in at least one block, so in one of the tries they lie below the sa
 and the subtrees below those nodes are joined independently of each other. A subtree that is too large for a task is
 cut by the same rule over its remaining bits; what is still too large is cut into chunks, and each pair of chunks is
 joined. No pair is lost. Each task returns a spanning forest of its links, never all pairs.
+
+``near_duplicates`` takes 64 bits and a budget of differing bits, and is exact. ``similar_documents`` takes a similarity
+of shingle sets: at 0.8 about 15 % of the bits differ, so it reads longer fingerprints, over which that share is
+estimated well, and more tries, each with another choice of bits first, until a pair at the similarity shares a node
+with the stated probability.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,22 +36,65 @@ SEED = 42
 MOST_IN_TASK = 4096
 #: A list of at most so many oversized nodes is broadcast; a longer one is joined by a shuffle.
 MOST_BROADCAST = 10_000
-
-
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """The fingerprint as an unsigned integer. Null and word-less texts: 0."""
+#: Fingerprints below a trie's node that agree by chance.
+BY_CHANCE = 512
+#: Rows that a partition of long fingerprints aims at.
+ROWS_IN_PARTITION = 400_000
+
+
+@dataclass(frozen=True)
+class Similarity:
+    """``least``: similarity (Jaccard) of sets of ``shingle_words`` words; ``bits``: length of the fingerprint, a
+    multiple of 64; ``deviations``: how many standard deviations more than expected at ``least`` may differ;
+    ``recall``: probability that a pair at ``least`` shares a trie node."""
+
+    least: float = 0.8
+    shingle_words: int = 5
+    bits: int = 512
+    deviations: float = 2.0
+    recall: float = 0.99
+
+    @property
+    def share(self) -> float:
+        """Bits expected to differ at ``least``: the angle between two such sets."""
+        return math.acos(2 * self.least / (1 + self.least)) / math.pi
+
+    @property
+    def budget(self) -> int:
+        return round(self.bits * self.share + self.deviations * math.sqrt(self.bits * self.share * (1 - self.share)))
+
+    def tries(self, n: int) -> list[np.ndarray]:
+        """The bits that come first in each trie, log2(n / BY_CHANCE) of them, so that a node has about as many
+        fingerprints by chance. The number of tries grows as n ** 0.23 at a similarity of 0.8."""
+        width = min(40, self.bits, max(8, math.ceil(math.log2(max(n, 1) / BY_CHANCE))))
+        want = math.ceil(math.log(1 - self.recall) / math.log1p(-((1 - self.share) ** width)))
+        rng, out = np.random.default_rng(SEED), []
+        while len(out) < want:
+            order = rng.permutation(self.bits)
+            out += [order[a : a + width] for a in range(0, self.bits - width + 1, width)]
+        return out[:want]
+
+
+def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """XXH64 of the shingles, repeats included; the whole sequence if there are fewer words, nothing without words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower() changes A-Z only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle_words:
-        return xxh64_intdigest(joined, SEED)
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - shingle_words + 1
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle_words - 1 :].tolist())), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle_words - 1 :].tolist())), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """The fingerprint as an unsigned integer. Null and word-less texts: 0."""
+    hashes = shingle_hashes(text, shingle_words)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         part = hashes[at : at + 65536]
@@ -51,6 +102,30 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def long_fingerprint(text: str | None, similarity: Similarity) -> bytes:
+    """A fingerprint of ``similarity.bits`` bits, 64 for each of several mixtures of the shingles' hashes. Null and
+    word-less texts: zeros."""
+    hashes = shingle_hashes(text, similarity.shingle_words)
+    n, words = len(hashes), similarity.bits // 64
+    step = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(similarity.bits, np.int64)
+    for at in range(0, n, 4080):
+        x = hashes[at : at + 4080, None] + step
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
+        for a in range(0, len(bits), 255):  # 255 ones fit a byte
+            ones += np.add.reduce(bits[a : a + 255], axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > n, bitorder="little").tobytes()
+
+
+def long_fingerprint_column(text: Column, similarity: Similarity) -> Column:
+    def apply(texts: pd.Series) -> pd.Series:
+        return pd.Series([long_fingerprint(x, similarity) for x in texts], dtype=object)
+
+    return F.pandas_udf(apply, "binary")(text)
+
+
 def fingerprint_column(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
     """The fingerprint as a signed long (the same 64 bits)."""
 
@@ -76,17 +151,36 @@ def merge_labels(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return label
 
 
+def _near(key: np.ndarray, i: np.ndarray, j: np.ndarray, budget: int) -> np.ndarray:
+    """Places of the pairs within the budget; the bits of a long fingerprint's second half are read only for pairs that
+    keep to it over the first."""
+    half = (key.shape[1] + 1) // 2
+    first, second = key[:, :half], key[:, half:]
+    count = np.bitwise_count(first[i] ^ first[j]).sum(axis=1, dtype=np.int64)
+    at = np.flatnonzero(count <= budget)
+    return at[count[at] + np.bitwise_count(second[i[at]] ^ second[j[at]]).sum(axis=1, dtype=np.int64) <= budget]
+
+
 def trie_self_join(task: np.ndarray, key: np.ndarray, budget: int, chunk: int = 1 << 18) -> np.ndarray:
     """Labels of the components of links within each task.
 
-    task, key: sorted by (task, key), without repeats; key: unsigned 64-bit fingerprints. Returns for each position
-    the smallest position in its component.
+    task, key: sorted by (task, key), without repeats; key: fingerprints as unsigned 64-bit words, one a column, the
+    first bit on top of the first. Returns for each position the smallest position in its component.
     """
-    n = len(key)
+    key = key.reshape(len(key), -1) if len(key) else key.reshape(0, 1)
+    n, words = key.shape
     label = np.arange(n)
     heads = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1]))) if n else np.array([], np.int64)
     tails = np.concatenate((heads[1:], [n])) if n else heads
     some = tails - heads > 1
+    # links to a task's first and to the one before join large groups of near copies, whose pairs are then passed over
+    mates = np.arange(n)
+    for other in (np.repeat(heads, tails - heads), np.maximum(mates - 1, np.repeat(heads, tails - heads))):
+        for at in range(0, n, 1 << 16):
+            i, j = other[at : at + (1 << 16)], mates[at : at + (1 << 16)]
+            i, j = i[i < j], j[i < j]
+            ok = _near(key, i, j, budget)
+            label = merge_labels(label, i[ok], j[ok])
     lo, hi = heads[some].astype(np.int64), tails[some].astype(np.int64)
     ones: dict[int, np.ndarray] = {}
     stack = [(0, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
@@ -100,23 +194,26 @@ def trie_self_join(task: np.ndarray, key: np.ndarray, budget: int, chunk: int =
             continue
         # few leaves below both nodes: compare them at once
         size = (ahi - alo) * (bhi - blo)
-        near = (size <= 16) | (depth >= 64)
+        near = (size <= 16) | (depth >= 64 * words)
         if near.any():
-            for at in range(0, int(near.sum()), 1 << 16):
-                which = np.flatnonzero(near)[at : at + (1 << 16)]
+            leaves, step = np.flatnonzero(near), (1 << 16) // words
+            for at in range(0, len(leaves), step):
+                which = leaves[at : at + step]
                 count = size[which]
                 pair = np.repeat(which, count)
                 within = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
                 width = (bhi - blo)[pair]
                 i, j = alo[pair] + within // width, blo[pair] + within % width
-                ok = (i < j) & (np.bitwise_count(key[i] ^ key[j]) <= budget)
+                ok = (i < j) & (label[i] != label[j])
+                i, j = i[ok], j[ok]
+                ok = _near(key, i, j, budget)
                 label = merge_labels(label, i[ok], j[ok])
             far = ~near
             alo, ahi, blo, bhi, acc = alo[far], ahi[far], blo[far], bhi[far], acc[far]
             if not len(alo):
                 continue
         if depth not in ones:
-            ones[depth] = np.concatenate(([0], np.cumsum((key >> np.uint64(63 - depth)) & np.uint64(1)).astype(np.int64)))
+            ones[depth] = np.concatenate(([0], np.cumsum((key[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)).astype(np.int64)))
         c = ones[depth]
         amid, bmid, same = ahi - (c[ahi] - c[alo]), bhi - (c[bhi] - c[blo]), (alo == blo) & (ahi == bhi)
         parts = [
@@ -201,6 +298,46 @@ def forest(fps: DataFrame, budget: int = BUDGET, most: int = MOST_IN_TASK) -> Da
     return tasks.repartition(shuffle_partitions(spark), "task").mapInArrow(join, "fp long, root long")
 
 
+def similar_forest(fps: DataFrame, n: int, similarity: Similarity, most: int = MOST_IN_TASK) -> DataFrame:
+    """Spanning forests (fp, root), one per task, of the links among ``fps``: ``fp``, a long for each of the ``n``
+    different fingerprints ``long_fp``."""
+    spark, budget = fps.sparkSession, similarity.budget
+    tries = similarity.tries(n)
+
+    def below(batches):
+        places = 1 << np.arange(len(tries[0]), dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                fp = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(fp, axis=1, bitorder="little")
+                for i, first in enumerate(tries):
+                    node = (bits[:, first] @ places) + (i << 40)
+                    yield pa.RecordBatch.from_arrays([pa.array(node), part.column(0), part.column(1)], names=["node", "fp", "long_fp"])
+
+    def join(batches):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(b.num_rows, -1)) for b in batches]
+        if not parts:
+            return
+        task, ids, key = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((ids, *key.T[::-1], task))
+        task, ids, key = task[order], ids[order], key[order]
+        label = trie_self_join(task, key, budget)
+        root = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(root, label, ids)
+        root = root[label]
+        out = ids != root
+        yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(root[out])], names=["fp", "root"])
+
+    nodes = fps.select("fp", "long_fp").mapInArrow(below, "node long, fp long, long_fp binary")
+    large = _oversized(nodes, "node", most)
+    dealt = nodes.join(large, "node", "left").withColumn("chunks", F.coalesce(F.ceil(2 * F.col("members") / most), F.lit(1)).cast("int"))
+    dealt = dealt.withColumn("mine", F.expr("pmod(xxhash64(fp, 7), chunks)")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    tasks = dealt.select(F.expr("xxhash64(node, least(mine, other), greatest(mine, other))").alias("task"), "fp", "long_fp")
+    parts = max(shuffle_partitions(spark), -(-n * len(tries) // ROWS_IN_PARTITION))
+    return tasks.repartition(parts, "task").mapInArrow(join, "fp long, root long")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(fp, root): every node that has an edge and is not its component's smallest, with that smallest node.
 
@@ -235,17 +372,37 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """
     docs = shared_checkpoint(df.select(F.col(id_col), fingerprint_column(F.col(text_col), shingle_words).alias("fp")))
     fps = shared_checkpoint(docs.groupBy("fp").agg(F.min(id_col).alias("low")))
-    roots = connected_components(forest(fps.select("fp"), budget))
-    member = shared_checkpoint(fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"))
-    names = member.filter("fp = root").select("root", "low").unionByName(member.filter("fp <> root").select("root", "low")).groupBy("root").agg(F.min("low").alias("component_id"))
-    named = member.join(names, "root").select("fp", "component_id")
+    named = _named(fps, forest(fps.select("fp"), budget))
     return docs.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` whose id names their component; of rows with the same id one, the first by all columns.
+def similar_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: Similarity = Similarity(), most: int = MOST_IN_TASK) -> DataFrame:
+    """One row per input row: the id, ``long_fp`` (binary) and ``component_id``, the smallest id among all rows
+    reachable over links of at most ``similarity.budget`` differing bits that a trie's node shows. Equal sequences of
+    words always link; a pair at the least similarity links with a probability of about ``similarity.recall``, more
+    similar ones with a higher one.
+
+    Defined cases: as for ``near_duplicates``.
+    """
+    docs = shared_checkpoint(df.select(F.col(id_col), long_fingerprint_column(F.col(text_col), similarity).alias("long_fp")))
+    # the numbers are fixed by the checkpoint
+    fps = shared_checkpoint(docs.groupBy("long_fp").agg(F.min(id_col).alias("low")).withColumn("fp", F.monotonically_increasing_id()))
+    named = _named(fps, similar_forest(fps, fps.count(), similarity, most))
+    return docs.join(fps.select("long_fp", "fp").join(named, "fp"), "long_fp").select(id_col, "long_fp", "component_id")
+
+
+def _named(fps: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, component_id) from (fp, low) and forests of links."""
+    roots = connected_components(links)
+    member = shared_checkpoint(fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"))
+    names = member.groupBy("root").agg(F.min("low").alias("component_id"))
+    return member.join(names, "root").select("fp", "component_id")
+
+
+def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", find=near_duplicates, **options) -> DataFrame:
+    """The rows of ``df`` whose id names their component under ``find``; of rows with the same id one, the first by all columns.
     Rows with a null id stay only where their component has no id at all, one for each different text."""
-    found = near_duplicates(df, text_col, id_col, **options)
+    found = find(df, text_col, id_col, **options)
     names = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
     kept = df.join(names, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     order = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).orderBy(*[F.col(f"`{c}`") for c in df.columns if c != id_col and dict(df.dtypes)[c].split("<")[0] != "map"])
