@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash_dedup.keep_one_of_each(docs.select(*DOCUMENT_COLUMNS))
+    """One document of each group of near duplicates (five words, a similarity of 0.8) stays."""
+    return simhash_dedup.keep_one_of_each(docs.select(*DOCUMENT_COLUMNS), find=simhash_dedup.similar_documents)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
