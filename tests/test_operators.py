@@ -78,6 +78,37 @@ def test_bocpd_sees_a_break():
     assert out["run_length"][99] > 50 and out["run_length"][110] < 20
 
 
+def slow_bocpd(x, hazard, longest, prior):
+    m0, k0, a0, b0 = prior
+
+    def predictive(v, m, k, a, b):
+        s2 = b * (k + 1) / (a * k)
+        return math.lgamma(a + 0.5) - math.lgamma(a) - 0.5 * math.log(2 * a * math.pi * s2) - (a + 0.5) * math.log1p((v - m) ** 2 / (2 * a * s2))
+
+    runs, logp, out = [prior], [0.0], []
+    for v in x:
+        logp = [predictive(v, *prior) + math.log(hazard) + np.logaddexp.reduce(logp), *(p + predictive(v, *r) + math.log(1 - hazard) for p, r in zip(logp, runs))]
+        runs = [(m + (v - m) / (k + 1), k + 1, a + 0.5, b + (v - m) ** 2 * k / (k + 1) / 2) for m, k, a, b in [prior, *runs]]
+        if len(logp) > longest:
+            tail = runs[longest - 1 :]
+            n, total = sum(2 * (a - a0) for _, _, a, _ in tail), sum(k * m - k0 * m0 for m, k, _, _ in tail)
+            squares = sum(2 * (b - b0) - k0 * m0**2 + k * m**2 for m, k, _, b in tail)
+            mean = (k0 * m0 + total) / (k0 + n)
+            runs = [*runs[: longest - 1], (mean, k0 + n, a0 + n / 2, b0 + (squares + k0 * m0**2 - (k0 + n) * mean**2) / 2)]
+            logp = [*logp[: longest - 1], np.logaddexp.reduce(logp[longest - 1 :])]
+        logp = list(np.array(logp) - np.logaddexp.reduce(logp))
+        out.append((math.exp(logp[0]), sum(i * math.exp(p) for i, p in enumerate(logp)), sum(map(math.exp, logp[:6]))))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("longest", [30, 512])
+def test_bocpd_keeps_the_mass_of_long_runs(longest):
+    x = np.random.default_rng(0).normal(0, 0.02, 150)
+    got = S.bocpd(x, longest=longest)
+    assert np.allclose(np.column_stack([got[c] for c in ("change_probability", "run_length", "transition_probability")]), slow_bocpd(x, 1 / 100, longest, (0.0, 1.0, 1.0, 1.0)), atol=1e-8)
+    assert got["change_probability"][1:].max() < 0.05 and got["run_length"][-1] > 0.9 * min(longest - 1, 150)
+
+
 def test_residual_of_many_factors_matches_closed_form(spark):
     p = walk(60).assign(x=np.random.default_rng(3).normal(size=60), y2=np.random.default_rng(4).normal(size=60))
     w = R.series(["instrument"], ["date"])

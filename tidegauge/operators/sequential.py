@@ -152,29 +152,45 @@ def residual_ols_many(y: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def bocpd(x: np.ndarray, hazard: float = 1 / 100, longest: int = 200, prior: tuple[float, float, float, float] = (0.0, 1.0, 1.0, 1.0)) -> dict[str, np.ndarray]:
-    """Bayesian change points with a normal-inverse-gamma prior (mean, kappa, alpha, beta) and run lengths up to
-    ``longest``: probability of a change, expected run length."""
+def bocpd(x: np.ndarray, hazard: float = 1 / 100, longest: int = 512, prior: tuple[float, float, float, float] = (0.0, 1.0, 1.0, 1.0), transition: int = 5) -> dict[str, np.ndarray]:
+    """Bayesian change points with a normal-inverse-gamma prior (mean, kappa, alpha, beta): probability of a change,
+    expected run length, mass on run lengths up to ``transition``. A new run is weighed by the prior's predictive. Of
+    ``longest`` run lengths the last holds all longer ones, by their summed mass and statistics."""
     from math import lgamma
 
     m0, k0, a0, b0 = prior
     logp = np.array([0.0])
     m, k, a, b = (np.array([v]) for v in (m0, k0, a0, b0))
-    gammas = np.vectorize(lgamma)
-    change, length = np.full(len(x), np.nan), np.full(len(x), np.nan)
+    of_alpha = lambda a: lgamma(a + 0.5) - lgamma(a) - 0.5 * np.log(2 * a * np.pi)
+    runs = np.arange(longest + 1)
+    known = np.array([of_alpha(a0 + n / 2) for n in range(min(longest, len(x)) + 1)])
+    first = b0 * (k0 + 1) / (a0 * k0)
+    change, length, early = (np.full(len(x), np.nan) for _ in range(3))
     for i, v in enumerate(x):
         if not np.isfinite(v):
             continue
         s2 = b * (k + 1) / (a * k)
-        like = gammas(a + 0.5) - gammas(a) - 0.5 * np.log(2 * a * np.pi * s2) - (a + 0.5) * np.log1p((v - m) ** 2 / (2 * a * s2))
-        grow, cp = logp + like + np.log1p(-hazard), np.logaddexp.reduce(logp + like + np.log(hazard))
-        logp = np.concatenate(([cp], grow))
-        m, k, a, b = (np.concatenate(([v0], vs)) for v0, vs in ((m0, (k * m + v) / (k + 1)), (k0, k + 1), (a0, a + 0.5), (b0, b + k * (v - m) ** 2 / (2 * (k + 1)))))
+        gammas = known[np.minimum(runs[1 : len(a) + 1], len(a) - 1)]  # the longest run is as old as the one before it
+        if len(a) == longest:
+            gammas[-1] = of_alpha(a[-1])
+        like = gammas - 0.5 * np.log(s2) - (a + 0.5) * np.log1p((v - m) ** 2 / (2 * a * s2))
+        new = known[0] - 0.5 * np.log(first) - (a0 + 0.5) * np.log1p((v - m0) ** 2 / (2 * a0 * first))
+        logp = np.concatenate(([new + np.log(hazard) + np.logaddexp.reduce(logp)], logp + like + np.log1p(-hazard)))
+        m, k, a, b = (np.concatenate(([v0], vs)) for v0, vs in ((m0, m), (k0, k), (a0, a), (b0, b)))
+        m, k, a, b = (k * m + v) / (k + 1), k + 1, a + 0.5, b + k * (v - m) ** 2 / (2 * (k + 1))
         if len(logp) > longest:
-            logp, m, k, a, b = logp[:longest], m[:longest], k[:longest], a[:longest], b[:longest]
+            at = longest - 1
+            n = 2 * (a[at:] - a0)
+            total, squares = (k[at:] * m[at:] - k0 * m0).sum(), (2 * (b[at:] - b0) - k0 * m0**2 + k[at:] * m[at:] ** 2).sum()
+            kn = k0 + n.sum()
+            mn = (k0 * m0 + total) / kn
+            tail = (mn, kn, a0 + n.sum() / 2, b0 + 0.5 * (squares + k0 * m0**2 - kn * mn**2))
+            m, k, a, b = (np.append(vs[:at], v1) for vs, v1 in zip((m, k, a, b), tail))
+            logp = np.append(logp[:at], np.logaddexp.reduce(logp[at:]))
         logp = logp - np.logaddexp.reduce(logp)
-        change[i], length[i] = np.exp(logp[0]), np.exp(logp) @ np.arange(len(logp))
-    return {"change_probability": change, "run_length": length}
+        p = np.exp(logp)
+        change[i], length[i], early[i] = p[0], p @ runs[: len(p)], p[: transition + 1].sum()
+    return {"change_probability": change, "run_length": length, "transition_probability": early}
 
 
 def scan(df: DataFrame, keys: list[str], order: list[str], outputs: list[str], kernel: Kernel) -> DataFrame:

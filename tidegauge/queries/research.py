@@ -573,8 +573,8 @@ def regime_classes(spark, d):
 def change_states(spark, d):
     from ..operators.sequential import bocpd, scan
 
-    r = scan(_returns(spark, d).filter("instrument <= 20").withColumnRenamed("r", "x"), KEYS, ORDER, ["change_probability", "run_length"], lambda p: bocpd(p["x"].to_numpy(float), longest=50))
-    return r.select("instrument", "date", H.change_state("change_probability", "change_probability").alias("state"))
+    r = scan(_returns(spark, d).filter("instrument <= 20").withColumnRenamed("r", "x"), KEYS, ORDER, ["change_probability", "transition_probability"], lambda p: bocpd(p["x"].to_numpy(float)))
+    return r.select("instrument", "date", H.change_state("change_probability", "transition_probability").alias("state"))
 
 
 @query("metric_parity", "SELECT o_orderstatus, 0.0::DOUBLE AS delta_total, true AS within FROM orders GROUP BY 1")

@@ -241,4 +241,4 @@ def pairs_position(spark, d):
 def bocpd(spark, d):
     w = R.series(KEYS, ORDER)
     r = bars(spark, d).select("instrument", "date", R.log_return("close", w).alias("x"))
-    return S.scan(r, KEYS, ORDER, ["change_probability", "run_length"], lambda p: S.bocpd(p["x"].to_numpy(float), longest=100)).select("instrument", "date", F.round("change_probability", 7).alias("change_probability"), F.round("run_length", 4).alias("run_length"))
+    return S.scan(r, KEYS, ORDER, ["change_probability", "run_length"], lambda p: S.bocpd(p["x"].to_numpy(float))).select("instrument", "date", F.round("change_probability", 7).alias("change_probability"), F.round("run_length", 4).alias("run_length"))
