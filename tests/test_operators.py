@@ -332,3 +332,28 @@ def test_hashes(spark):
 def test_laplace_noise_has_its_scale(spark):
     r = spark.range(20000).select((X.laplace_noise(F.lit(0.0), 2.0, 7)).alias("x")).agg(F.avg(F.abs("x")).alias("m")).first()["m"]
     assert r == pytest.approx(0.5, rel=0.05)
+
+
+def test_regimes_and_change_states_of_every_series(spark, monkeypatch):
+    from tidegauge.queries import QUERIES, research
+
+    rng = np.random.default_rng(7)
+    days = [date(2024, 1, 1) + timedelta(i) for i in range(60)]
+    series = {k: [None, *map(float, rng.normal(0, 0.03, 29)), *map(float, rng.normal(0, 5, 30))] for k in (2, 7, 25)}
+    df = spark.createDataFrame([(k, d, v) for k, vs in series.items() for d, v in zip(days, vs)], "instrument long, date date, r double")
+    monkeypatch.setattr(research, "_returns", lambda spark, d: df)
+    want, states = set(), {}
+    for k, vs in series.items():
+        vols = []
+        for i in range(1, 60):
+            near = vs[max(1, i - 19) : i + 1]
+            trend = sum(math.log1p(max(v, -0.9)) for v in near)
+            vols.append(math.log(max(math.sqrt(252 / 20 * sum(v * v for v in near)), 1e-12)))
+            low, high = np.quantile(vols, [1 / 3, 2 / 3])
+            vol = "lo" if vols[-1] <= low else "med" if vols[-1] <= high else "hi"
+            kind = "high_vol" if vol == "hi" else "bear" if trend < -0.01 else "bull" if trend > 0.01 else "sideways"
+            want.add((k, days[i], "hi" if trend > 0.01 else "lo" if trend < -0.01 else "flat", vol, kind))
+        change = slow_bocpd(vs[1:], 1 / 100, 512, (0.0, 1.0, 1.0, 1.0))
+        states |= {(k, days[0]): "stable"} | {(k, d): "changepoint" if c >= 0.5 else "transition" if t >= 0.25 else "stable" for d, (c, _, t) in zip(days[1:], change)}
+    assert {tuple(r) for r in QUERIES["regime_classes_all"](spark, "").collect()} == want
+    assert {(r[0], r[1]): r[2] for r in QUERIES["change_states"](spark, "").collect()} == states

@@ -561,9 +561,19 @@ def softmax_allocation(spark, d):
 q AS (SELECT *, quantile_cont(rv, 1.0 / 3) OVER {W} AS a, quantile_cont(rv, 2.0 / 3) OVER {W} AS z FROM x) SELECT instrument, date, CASE WHEN trend > 0.01 THEN 'hi' WHEN trend < -0.01 THEN 'lo' ELSE 'flat' END AS trend, CASE WHEN rv <= a THEN 'lo' WHEN rv <= z THEN 'med' ELSE 'hi' END AS vol,
 CASE WHEN rv > z THEN 'high_vol' WHEN trend < -0.01 THEN 'bear' WHEN trend > 0.01 THEN 'bull' ELSE 'sideways' END AS regime FROM q""".replace("1.0 / 3", "1.0::DOUBLE / 3").replace("2.0 / 3", "2.0::DOUBLE / 3"))
 def regime_classes(spark, d):
-    """Trend by summed log returns, volatility by expanding terciles, and the class of both, for three series."""
+    """The classes of the first three series, as far as the SQL goes; ``regime_classes_all`` has every series."""
+    return _regime_classes(_returns(spark, d).filter("instrument <= 3"))
+
+
+@query("regime_classes_all")
+def regime_classes_all(spark, d):
+    """Trend by summed log returns, volatility by expanding terciles, and the class of both, for every series."""
+    return _regime_classes(_returns(spark, d))
+
+
+def _regime_classes(returns):
     w = R.series(KEYS, ORDER)
-    r = _returns(spark, d).filter("instrument <= 3 AND r IS NOT NULL").withColumn("r9", F.greatest("r", F.lit(-0.9)))
+    r = returns.filter("r IS NOT NULL").withColumn("r9", F.greatest("r", F.lit(-0.9)))
     x = r.select("instrument", "date", H.trend_regime("r9", w).alias("trend"), H.annual_log_volatility("r", w).alias("rv"))
     x = x.withColumn("vol", H.volatility_regime("rv", w))
     return x.select("instrument", "date", "trend", "vol", H.regime_class("trend", "vol").alias("regime"))
@@ -573,7 +583,7 @@ def regime_classes(spark, d):
 def change_states(spark, d):
     from ..operators.sequential import bocpd, scan
 
-    r = scan(_returns(spark, d).filter("instrument <= 20").withColumnRenamed("r", "x"), KEYS, ORDER, ["change_probability", "transition_probability"], lambda p: bocpd(p["x"].to_numpy(float)))
+    r = scan(_returns(spark, d).withColumnRenamed("r", "x"), KEYS, ORDER, ["change_probability", "transition_probability"], lambda p: bocpd(p["x"].to_numpy(float)))
     return r.select("instrument", "date", H.change_state("change_probability", "transition_probability").alias("state"))
 
 
