@@ -210,6 +210,25 @@ def test_similar_documents_are_found(spark, most):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: first[g] for i, g in group.items()}
 
 
+@pytest.mark.parametrize("most", [2, 4096])
+def test_similarity_is_that_of_sets(spark, most):
+    """Repeats of shingles neither part texts with one set nor link texts with different ones."""
+    lines = [" ".join(f"l{i}.{j}" for j in range(5)) for i in range(100)]
+    other = [" ".join(f"o{i}.{j}" for j in range(5)) for i in range(30)]
+    again = " ".join(lines[:1] * 60)
+    rows = [(0, " ".join(lines[:1] + lines)), (1, again + " " + " ".join(lines)), (2, again + " " + " ".join(other)), (3, again + " " + " ".join(lines[40:60])), (4, None), (5, "")]
+    rows += [(i, " ".join(f"b{x}" for x in range(100) if x != 3 * i)) for i in range(6, 20)]
+    sets = {i: shingle_set(t, 5) for i, t in rows}
+    want = {i: i for i, _ in rows}
+    for i, _ in rows:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((want[i], want[j]))
+                want = {k: a if v == b else v for k, v in want.items()}
+    got = simhash_dedup.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) == 5
+
+
 @pytest.mark.parametrize("most", [4, 16, 4096])
 def test_dense_groups_lose_no_link(spark, most):
     """Oversized nodes are cut, at every level, without losing a link."""

@@ -13,11 +13,13 @@ joined. No pair is lost. Each task returns a spanning forest of its links, never
 ``near_duplicates`` takes 64 bits and a budget of differing bits, and is exact. ``similar_documents`` takes a similarity
 of shingle sets: at 0.8 about 15 % of the bits differ, so it reads longer fingerprints, over which that share is
 estimated well, and more tries, each with another choice of bits first, until a pair at the similarity shares a node
-with the stated probability.
+with the stated probability. These links only propose: within the components that they make, pairs within the budget
+are compared by their sets, and only those that reach the similarity are links of the result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -40,6 +42,8 @@ MOST_BROADCAST = 10_000
 BY_CHANCE = 512
 #: Rows that a partition of long fingerprints aims at.
 ROWS_IN_PARTITION = 400_000
+#: Characters of texts whose sets a task compares at once; larger groups are cut into pairs of chunks.
+CHARACTERS_IN_TASK = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -103,9 +107,18 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def long_fingerprint(text: str | None, similarity: Similarity) -> bytes:
-    """A fingerprint of ``similarity.bits`` bits, 64 for each of several mixtures of the shingles' hashes. Null and
-    word-less texts: zeros."""
-    hashes = shingle_hashes(text, similarity.shingle_words)
+    """A fingerprint of ``similarity.bits`` bits, 64 for each of several mixtures of the shingles' hashes, repeats
+    included. Null and word-less texts: zeros."""
+    return _votes(shingle_hashes(text, similarity.shingle_words), similarity)
+
+
+def set_fingerprint(text: str | None, similarity: Similarity) -> tuple[bytes, bytes]:
+    """The same over the set of shingles, each with one vote, and the set's digest."""
+    hashes = np.unique(shingle_hashes(text, similarity.shingle_words))
+    return _votes(hashes, similarity), hashlib.md5(hashes.tobytes()).digest()
+
+
+def _votes(hashes: np.ndarray, similarity: Similarity) -> bytes:
     n, words = len(hashes), similarity.bits // 64
     step = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ones = np.zeros(similarity.bits, np.int64)
@@ -119,11 +132,11 @@ def long_fingerprint(text: str | None, similarity: Similarity) -> bytes:
     return np.packbits(ones * 2 > n, bitorder="little").tobytes()
 
 
-def long_fingerprint_column(text: Column, similarity: Similarity) -> Column:
-    def apply(texts: pd.Series) -> pd.Series:
-        return pd.Series([long_fingerprint(x, similarity) for x in texts], dtype=object)
+def set_fingerprint_column(text: Column, similarity: Similarity) -> Column:
+    def apply(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([set_fingerprint(x, similarity) for x in texts], columns=["long_fp", "digest"], dtype=object)
 
-    return F.pandas_udf(apply, "binary")(text)
+    return F.pandas_udf(apply, "long_fp binary, digest binary")(text)
 
 
 def fingerprint_column(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
@@ -376,19 +389,76 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return docs.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def verified_pairs(key: np.ndarray, sets: list[np.ndarray], similarity: Similarity) -> np.ndarray:
+    """Labels of the components of links: pairs of ``key`` (fingerprints, 64-bit words as columns) within the budget
+    whose sorted ``sets`` reach the similarity. Pairs that earlier links join are passed over."""
+    label, size = np.arange(len(sets)), np.array([len(x) for x in sets])
+    for i in range(len(sets) - 1):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        j = j[np.minimum(size[j], size[i]) >= similarity.least * np.maximum(size[j], size[i])]
+        for at in j[np.bitwise_count(key[j] ^ key[i]).sum(axis=1, dtype=np.int64) <= similarity.budget].tolist():
+            if label[at] == label[i]:
+                continue
+            both = np.sort(np.concatenate((sets[i], sets[at])), kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            if common >= similarity.least * (len(both) - common):
+                label = merge_labels(label, np.array([i]), np.array([at]))
+    return label
+
+
+def verified_forest(groups: DataFrame, total: int, similarity: Similarity, most: int = MOST_IN_TASK) -> DataFrame:
+    """Spanning forests (fp, root), one per task, of the links that hold by exact similarity. ``groups``: ``fp``, a long
+    for each different set; its ``long_fp`` and ``text``; its ``group`` with ``members`` sets of ``characters``
+    together. ``total``: all characters."""
+    spark = groups.sparkSession
+    dealt = groups.withColumn("chunks", F.expr(f"CAST(CASE WHEN members <= {most} AND characters <= {CHARACTERS_IN_TASK}L THEN 1 ELSE least(members, ceil(2 * greatest(members / {most}, characters / {CHARACTERS_IN_TASK}))) END AS INT)"))
+    dealt = dealt.withColumn("mine", F.expr("CAST(pmod(xxhash64(fp, 7), chunks) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    tasks = dealt.select(F.expr("xxhash64(group, least(mine, other), greatest(mine, other))").alias("task"), "fp", "long_fp", "text")
+
+    def join(batches):
+        rows: dict[int, list] = {}
+        for batch in batches:
+            for task, fp, long_fp, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.setdefault(task, []).append((fp, long_fp, np.unique(shingle_hashes(text, similarity.shingle_words))))
+        for members in rows.values():
+            ids = np.array([x[0] for x in members], np.int64)
+            key = np.frombuffer(b"".join(x[1] for x in members), np.uint64).reshape(len(members), -1)
+            label = verified_pairs(key, [x[2] for x in members], similarity)
+            root = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(root, label, ids)
+            root = root[label]
+            out = ids != root
+            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(root[out])], names=["fp", "root"])
+
+    parts = max(shuffle_partitions(spark), -(-total // CHARACTERS_IN_TASK))
+    return tasks.repartition(parts, "task").mapInArrow(join, "fp long, root long")
+
+
 def similar_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: Similarity = Similarity(), most: int = MOST_IN_TASK) -> DataFrame:
     """One row per input row: the id, ``long_fp`` (binary) and ``component_id``, the smallest id among all rows
-    reachable over links of at most ``similarity.budget`` differing bits that a trie's node shows. Equal sequences of
-    words always link; a pair at the least similarity links with a probability of about ``similarity.recall``, more
-    similar ones with a higher one.
+    reachable over links: two texts whose sets of shingles have the least similarity, and whose fingerprints, within
+    the budget, a trie's node shows. Equal sets always link; a pair at the least similarity is proposed with a
+    probability of about ``similarity.recall`` if within the budget, more similar ones with a higher one. No link is
+    below the least similarity.
 
     Defined cases: as for ``near_duplicates``.
     """
-    docs = shared_checkpoint(df.select(F.col(id_col), long_fingerprint_column(F.col(text_col), similarity).alias("long_fp")))
-    # the numbers are fixed by the checkpoint
-    fps = shared_checkpoint(docs.groupBy("long_fp").agg(F.min(id_col).alias("low")).withColumn("fp", F.monotonically_increasing_id()))
-    named = _named(fps, similar_forest(fps, fps.count(), similarity, most))
-    return docs.join(fps.select("long_fp", "fp").join(named, "fp"), "long_fp").select(id_col, "long_fp", "component_id")
+    text = F.col(text_col)
+    # the numbers are fixed by the checkpoints
+    docs = df.select(F.col(id_col), text.alias("__text"), set_fingerprint_column(text, similarity).alias("f"))
+    docs = shared_checkpoint(docs.select(id_col, "__text", "f.*", F.monotonically_increasing_id().alias("__row")))
+    sets = docs.groupBy("long_fp", "digest").agg(F.min(id_col).alias("low"), F.min("__row").alias("__row"), F.min(F.length("__text")).alias("n"))
+    sets = shared_checkpoint(sets.withColumn("fp", F.monotonically_increasing_id()))
+    fps = shared_checkpoint(sets.groupBy("long_fp").agg(F.min("fp").alias("fp")))
+    roots = connected_components(similar_forest(fps, fps.count(), similarity, most))
+    first = sets.join(fps.select("long_fp", F.col("fp").alias("lead")), "long_fp").join(roots.select(F.col("fp").alias("lead"), "root"), "lead", "left")
+    grouped = shared_checkpoint(first.select("fp", "long_fp", "__row", "n", F.coalesce("root", "lead").alias("group")))
+    large = grouped.groupBy("group").agg(F.count("*").alias("members"), F.sum(F.coalesce("n", F.lit(0))).alias("characters")).filter("members > 1")
+    wanted = shared_checkpoint(grouped.join(large, "group"))
+    total = wanted.agg(F.sum("n").alias("n")).first()["n"] or 0
+    texts = wanted.join(docs.select("__row", F.col("__text").alias("text")), "__row")
+    named = _named(sets.select("fp", "low"), verified_forest(texts, total, similarity, most))
+    return docs.join(sets.select("long_fp", "digest", "fp").join(named, "fp"), ["long_fp", "digest"]).select(id_col, "long_fp", "component_id")
 
 
 def _named(fps: DataFrame, links: DataFrame) -> DataFrame:
