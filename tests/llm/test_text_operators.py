@@ -320,6 +320,16 @@ def test_battery_tells_keys_from_words():
     assert not any(secret_scan.random_spans(p, b, pattern) for p in plain)
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", secret_scan.UPPER + "234567", secret_scan.UPPER, secret_scan.LOWER])
+def test_keys_of_small_alphabets(alphabet):
+    b, rng = secret_scan.Battery(), np.random.default_rng(11)
+    find = lambda text: secret_scan.random_spans(text, b, secret_scan.candidate_pattern(b))
+    for n in (20, 24, 32, 40):
+        assert sum(bool(find(f"the key {''.join(rng.choice(list(alphabet), n))} is new")) for _ in range(200)) > 170
+    ordinary = ["usr/local/lib/python3/site-packages/numpy/core", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "electroencephalographically", "MAX_BUFFER_SIZE_IN_BYTES_2048", "getElementByIdOrNameFromTheCache", "2024-01-01/2024-12-31_report-final", "erberbeeinheitkeiter"]
+    assert not any(map(find, ordinary))
+
+
 def test_redaction():
     t = 'a token = "0123456789abcdef0123456789abcdef01234567" b'
     spans = secret_scan.base_spans(t)
