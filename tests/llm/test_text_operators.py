@@ -119,6 +119,24 @@ def test_bands_reject_both_ends():
     assert quality_rules.compression_verdict(prose, bands, z)[3]
 
 
+@pytest.mark.parametrize("n", [512, 700, 1024, 1500, 3000, 4096, 8192, 20000])
+def test_bands_reject_encoded_text(n, plain):
+    import base64
+
+    import zstandard
+
+    z, bands, rng = zstandard.ZstdCompressor(level=3), quality_rules.Bands(), np.random.default_rng(n)
+    wrap = lambda x: "\n".join(x[i : i + 76] for i in range(0, len(x), 76))[:n].encode()
+    letters = list(secret_scan.UPPER + secret_scan.LOWER + secret_scan.DIGITS)
+    word_list = " ".join("".join(rng.choice(letters, rng.integers(3, 10))) for _ in range(n // 4 + 9))[:n].encode()
+    encoded = [wrap(base64.b64encode(rng.bytes(n)).decode()), word_list] + [wrap(rng.bytes(n).hex())] * (n >= 8192)
+    assert [quality_rules.compression_verdict(x, bands, z)[1] for x in encoded] == [1] * len(encoded)
+    prose = " ".join(t for t in plain["text"].dropna() if len(t) > 300 and t.isascii())[: 4096 * 4].encode()
+    hidden = prose + wrap(base64.b64encode(rng.bytes(40000)).decode()) * (20480 // n + 1)
+    assert quality_rules.compression_verdict(hidden, bands, z)[2] >= (n >= 4096)
+    assert not any(quality_rules.compression_verdict(t.encode("utf-8", "surrogatepass"), bands, z)[1] == 1 for t in plain["text"].dropna())
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 
 
