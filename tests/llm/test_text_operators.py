@@ -433,6 +433,13 @@ def test_main_text_without_article_element():
     assert got[0] == "Head" and len(got) == 7
 
 
+@pytest.mark.parametrize("open_, close", [("<div class='content-sidebar-wrap'>", "</div>"), ("<div class='has-sidebar'>", "</div>"), ("<div class='no-sidebar'><main>", "</main></div>"), ("<div class='sidebar layout'><article>", "</article></div>")])
+def test_wrappers_keep_their_article(open_, close):
+    text = "A long sentence, with commas, tells what has happened here. " * 5
+    page = f"<html><head><title>t</title><body>{open_}<p>{text}</p><p>{text}</p>{close}<div class='sidebar'><p>Other news, in brief.</p></div>"
+    assert html_extraction.extract_text(page) == f"{text.strip()}\n\n{text.strip()}"
+
+
 def test_cut_off_pages_and_no_markup():
     assert html_extraction.extract_text(PAGE[: PAGE.index("Still")]).endswith("a break.")
     assert html_extraction.extract_text("just text, no tags.") == "just text, no tags."

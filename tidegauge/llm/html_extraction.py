@@ -40,7 +40,11 @@ BOILERPLATE = frozenset(
     "header masthead topbar footer foot comment comments comentarios commentlist disqus respond reply replies notice notices cookie cookies consent gdpr alert alerts popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations widget widgets pager pagination search form skip toolbar legal copyright contentinfo complementary".split()
 )
-#: Class words of wrappers that the previous list would hit but that hold articles.
+#: Class words of wrappers that the previous list would hit but that hold articles: names that begin with one of the
+#: first, or hold one of the second and one of the third.
+STATES = frozenset("has no with without".split())
+HOLDS = frozenset("content main article page primary site".split())
+WRAPS = frozenset("wrap wrapper container layout grid row".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 CUT = re.compile(r"[^a-z0-9]+")
 
@@ -63,13 +67,25 @@ def _boilerplate(tag: str, attributes: str) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    return any(w in BOILERPLATE for m in MARK.finditer(attributes) for w in CUT.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "").lower()))
+    return _boilerplate_name(attributes)
+
+
+def _boilerplate_name(attributes: str) -> bool:
+    for m in MARK.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = CUT.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+            if not (words[0] in STATES or HOLDS.intersection(words) and WRAPS.intersection(words)) and any(w in BOILERPLATE for w in words):
+                return True
+    return False
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
     """(path of block tags, text, length of its links, whether an element around it rules it out), by page order."""
-    out: list[tuple[tuple[str, ...], str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements; whether one of them, from the root on, rules content out
+    out: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]] = []
+    stack: list[tuple[str, tuple[int, ...]]] = []  # open elements; those, from the root on, that rule content out
+    named: set[int] = set()  # elements that rule content out by their name only, which yields to an article inside
+    yielded: set[int] = set()
+    count = 0
     text: list[str] = []
     links = 0
 
@@ -77,7 +93,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         nonlocal links
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            out.append((tuple(t for t, _ in stack if t not in INLINE), joined, links, bool(stack) and stack[-1][1]))
+            out.append((tuple(t for t, _ in stack if t not in INLINE), joined, links, stack[-1][1] if stack else ()))
         text.clear()
         links = 0
 
@@ -127,6 +143,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             elif tag == "br":
                 text.append(" ")
             continue
+        if tag == "body":
+            head = next((n for n in range(len(stack)) if stack[n][0] == "head"), None)
+            if head is not None:
+                pop_to(head)
         if tag in ENDS_PARAGRAPH:
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n][0] == "p":
@@ -145,12 +165,19 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
                         break
         if tag not in INLINE:
             flush()
-        ruled = bool(stack) and stack[-1][1] or _boilerplate(tag, found[3]) or tag == "header" and not any(t in ("article", "main") for t, _ in stack)
+        ruled = stack[-1][1] if stack else ()
+        if tag == "main" or tag == "article" and not _boilerplate_name(found[3]):
+            yielded.update(named.intersection(ruled))
+        if _boilerplate(tag, found[3]) or tag == "header" and not any(t in ("article", "main") for t, _ in stack):
+            count += 1
+            ruled = (*ruled, count)
+            if tag not in NOT_CONTENT and tag != "header" and not HIDDEN.search(found[3]):
+                named.add(count)
         if found[3].endswith("/") and tag in INLINE:
             continue
         stack.append((tag, ruled))
     flush()
-    return out
+    return [(path, t, n, not yielded.issuperset(ruled)) for path, t, n, ruled in out]
 
 
 def path_ratios(found: list, settings: Settings) -> dict[tuple[str, ...], float]:
