@@ -357,3 +357,11 @@ def test_regimes_and_change_states_of_every_series(spark, monkeypatch):
         states |= {(k, days[0]): "stable"} | {(k, d): "changepoint" if c >= 0.5 else "transition" if t >= 0.25 else "stable" for d, (c, _, t) in zip(days[1:], change)}
     assert {tuple(r) for r in QUERIES["regime_classes_all"](spark, "").collect()} == want
     assert {(r[0], r[1]): r[2] for r in QUERIES["change_states"](spark, "").collect()} == states
+
+
+def test_bootstrap_query_draws_as_many_as_the_reference(spark, monkeypatch):
+    from tidegauge.queries import QUERIES, research
+
+    monkeypatch.setattr(research, "_returns", lambda spark, d: None)
+    monkeypatch.setattr(research.Z, "bootstrap_sharpe", lambda df, x, order, keys, n: n)
+    assert QUERIES["bootstrap_sharpe"](spark, "") == 10_000

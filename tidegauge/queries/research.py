@@ -408,7 +408,7 @@ def validity_report(spark, d):
 
 @query("bootstrap_sharpe")
 def bootstrap_sharpe(spark, d):
-    return Z.bootstrap_sharpe(_returns(spark, d), "r", "date", KEYS, 200)
+    return Z.bootstrap_sharpe(_returns(spark, d), "r", "date", KEYS, 10_000)
 
 
 SURFACE = PREDICTIONS + """, o AS (SELECT model_id, fold_id, sign(prediction) * greatest(least(forward_return, 0.5), -0.5) AS r FROM predictions), s AS (SELECT model_id, fold_id, count(r)::DOUBLE AS n, sum(r) AS s, sum(r * r) AS q FROM o GROUP BY 1, 2),
