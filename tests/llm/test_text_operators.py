@@ -447,15 +447,99 @@ def test_cut_off_pages_and_no_markup():
         html_extraction.extract_text(page)
 
 
+def article_text(page):
+    import html
+
+    inner = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n\n".join(x for x in blocks if x)
+
+
 def test_articles_of_the_table(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     got = html_extraction.extract_main_text(pages).join(pages, ["page_id", "url"]).toPandas()
     for r in got.itertuples():
-        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
-        blocks = [" ".join(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
-        import html
+        assert r.text == article_text(r.html)
+
+
+def constant_ratios(found, settings):
+    return {x.path: (1.0, 1.0) for x in found}
+
+
+def bare(page):
+    """Landmarks as unnamed divs, and no class, id or role: only lengths and punctuation tell the article."""
+    page = re.sub(r"</?(nav|article|footer|header|main|aside)\b", lambda m: m[0].replace(m[1], "div"), page)
+    return re.sub(r"""\s(class|id|role)="[^"]*\"""", "", page)
+
+
+def test_the_ratios_decide():
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")["html"]
+    want = [article_text(x) for x in pages]
+    assert [html_extraction.extract_text(x) for x in pages] == want
+    assert not any(html_extraction.extract_text(x, ratios=constant_ratios) == w for x, w in zip(pages, want))
+    plain = [bare(x) for x in pages]
+    assert sum(html_extraction.extract_text(x) == w for x, w in zip(plain, want)) > 0.8 * len(want)
+    assert not any(html_extraction.extract_text(x, ratios=constant_ratios) == w for x, w in zip(plain, want))
+
+
+LONG = "A long sentence, with commas, tells what has happened here in the harbour. "
+FIVE = f"<p>{LONG * 3}</p>" * 5
+REMARKS = "<div><p>Nice text, thanks.</p></div>" * 8
+
+
+@pytest.mark.parametrize("page, first, last, blocks", [
+    (f"<article><h1>Head</h1>{FIVE}<div>Buy now, it is cheap</div><p>Of.</p></article>", "Head", "Of.", 7),
+    (f"<div><h2>Head</h2>{FIVE}</div><div>{REMARKS}</div>", "Head", LONG, 6),
+    (f"<article><h2>Head</h2>{FIVE}<div>{REMARKS}</div></article>", "Head", LONG, 6),
+    (f"<div><section><h2>A</h2>{FIVE}</section><section><h2>B</h2><p>{LONG * 3}</p></section></div><div>Terms of use, imprint.</div>", "A", LONG, 8),
+    (f"<article><div>{FIVE}</div><div><div><p>{LONG * 3}</p></div></div><div>Share it</div></article>", LONG, LONG, 6),
+    (f"<div><h1>T</h1>{FIVE}<ul><li>One.</li><li>Two</li></ul><blockquote>Quote.</blockquote></div><div><h3>Related</h3><ul><li><a href=x>Other news</a></li></ul></div>", "T", "Quote.", 9),
+    (f"<div><div>{LONG * 3}</div><div>{LONG}</div><div>Short.</div></div><div><a href=x>Home</a></div>", LONG, "Short.", 3),
+    (f"<main>{FIVE}<table><tr><th>Year</th><td>1999</td></tr></table></main>", LONG, "1999", 7),
+    (f"<p>We use cookies.</p><div>{FIVE}</div>", LONG, LONG, 5),
+])
+def test_pages_without_telling_names(page, first, last, blocks):
+    got = html_extraction.extract_text(f"<html><body>{page}</body></html>").split("\n\n")
+    assert len(got) == blocks and got[0].startswith(first.strip()) and got[-1].endswith(last.strip())
+
+
+def slow_ratios(page, settings):
+    """The two ratios of every path, path by path over whole lists."""
+    found, _, _ = html_extraction.parse(page, settings)
+    size = lambda x: len(x.text) - min(len(x.text), 2 * x.links)
+    marks = lambda x: sum(c in ".,;:!?…。、，！？" for c in x.text)
+    out = {}
+    for k in (0, 1):
+        pairs = []
+        for x in found:
+            same = [y for y in found if y.path == x.path]
+            n = len(same) if k else 1
+            pairs.append((math.log1p(sum(map(size, same)) / n), math.log1p(sum(map(marks, same)) / n)))
+        for path in {x.path for x in found}:
+            of = []
+            for i, x in enumerate(found):
+                if x.path == path:
+                    near = pairs[max(0, i - settings.window) : i + settings.window + 1]
+                    a, b = (0.5 * pairs[i][j] + 0.5 * np.mean([p[j] for p in near]) for j in (0, 1))
+                    of.append(a * (1 + b) * x.prior)
+            out.setdefault(path, []).append(np.mean(of))
+    return out
+
+
+def test_ratios_against_plain_version():
+    settings = html_extraction.Settings()
+    for page in [PAGE, *pd.read_parquet("/root/testdata/sf0.001/pages.parquet")["html"][:20]]:
+        got, want = html_extraction.path_ratios(html_extraction.parse(page, settings)[0], settings), slow_ratios(page, settings)
+        assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+@pytest.mark.parametrize("page", ["<div>word " * 20_000, "<b>x" * 20_000 + "<div>word</section></b>" * 20_000, "<ul><li>" * 10_000 + "<li>a" * 10_000, "<p><span>a " * 20_000 + "<hr>" * 20_000])
+def test_deep_pages_take_linear_time(page):
+    import time
 
-        assert r.text == "\n\n".join(" ".join(html.unescape(x).split()) for x in blocks if x)
+    began = time.process_time()
+    assert html_extraction.extract_text(page)
+    assert time.process_time() - began < 5
 
 
 # 8 ------------------------------------------------------------------------------------------------------------------
