@@ -58,6 +58,7 @@ RUNS = {
     "op7": lambda s, d: html_extraction.extract_main_text(d.withColumn("page_id", F.col("doc_id")).withColumn("url", F.lit(None).cast("string")), "text"),
     "op8": lambda s, d: sharding.shard_records(d, [1.0, 2.0, 0.0]),
     "op9": lambda s, d: merkle.fingerprint_documents(d),
+    "op9_edits": lambda s, d: merkle.compare_with_next(d),
     "op9_next": lambda s, d: merkle.with_next(d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", ["text"]),
     "op10": lambda s, d: packing.pack(d, TOKENIZER),
 }
@@ -565,12 +566,86 @@ def test_weights_of_shards(spark):
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
+def slow_tree(text):
+    """[[(length, [(leaf, length)])]] by section and paragraph."""
+    out = []
+    for section in (text or "").split("\n\n"):
+        out.append([])
+        for p in section.split("\n"):
+            leaves, at, n = [], 0, 32
+            while at < len(p):
+                for _ in range(4):
+                    if at < len(p):
+                        leaves.append((hashlib.md5(p[at : at + n].encode()).hexdigest(), min(n, len(p) - at)))
+                        at += n
+                n *= 2
+            out[-1].append((len(p), leaves))
+    return out
+
+
+def slow_mark(text):
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sections = []
+    for section in slow_tree(text):
+        ps = [(md5(f"{n}:{''.join(x for x, _ in leaves)}"), f"{n},{'.'.join(x[:8] for x, _ in leaves)}") for n, leaves in section]
+        sections.append((md5("".join(d for d, _ in ps)), ";".join(f"{d[:8]},{x}" for d, x in ps)))
+    return hashlib.sha256("".join(d for d, _ in sections).encode()).hexdigest()[:32] + ":" + "/".join(f"{d[:8]}={x}" for d, x in sections)
+
+
+def slow_likeness(a, b):
+    def leaves(text):
+        out = []
+        for i, section in enumerate(slow_tree(text)):
+            out += [("section", 2)] * (i > 0)
+            for j, (_, x) in enumerate(section):
+                out += [("paragraph", 1)] * (j > 0) + [(y[:8], w) for y, w in x]
+        return Counter(out) + Counter((p[0], *x) for p, x in zip([("", 0), *out], out))
+
+    if slow_mark(a) == slow_mark(b):
+        return 1.0
+    x, y = leaves(a), leaves(b)
+    total = sum(k[-1] * n for c in (x, y) for k, n in c.items())
+    return min(2 * sum(k[-1] * n for k, n in (x & y).items()) / total, 1 - 1 / total)
+
+
+TEXTS = ["a\nb", "a\n\nb", "a\nb\n", "", None, "a\nb", "x" * 5000, "x" * 4999 + "y", "\n", "b\na", "aaaa\n\nbbbb", "bbbb\n\naaaa", "a\nb\na\nc\na", "a\nc\na\nb\na", "é😀" * 70 + "\n\n\nz", "w " * 90, "w " * 64, "w " * 65]
+
+
 def test_roots_tell_texts_apart(spark):
-    texts = ["a\nb", "a\n\nb", "a\nb\n", "", None, "a\nb", "x" * 5000, "x" * 4999 + "y"]
-    rows = merkle.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    rows = merkle.fingerprint_documents(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")).orderBy("doc_id").collect()
     f = [r["fingerprint"] for r in rows]
-    assert f[0] == f[5] and f[3] == f[4] and len(set(f)) == 6
-    assert [a == b for a, b in zip(f[6][33:].split("."), f[7][33:].split("."))].count(False) == 1  # only the last leaf differs
+    assert f == [slow_mark(t) for t in TEXTS] and len(set(f)) == len({t or "" for t in TEXTS})
+
+
+def test_likeness_against_plain_version(spark):
+    pairs = [(a or "", b or "") for a in TEXTS for b in TEXTS]
+    df = merkle.with_fingerprint(merkle.with_fingerprint(spark.createDataFrame(pairs, "a string, b string"), "a", "fa"), "b", "fb")
+    for r in merkle.with_likeness(df, "fa", "fb", "near").collect():
+        assert r["near"] == pytest.approx(slow_likeness(r["a"], r["b"])) and (r["near"] == 1) == (r["a"] == r["b"]) and 0 <= r["near"]
+
+
+def test_differing_branches_locate_edits(spark):
+    base = "\n\n".join("\n".join(f"section {s} paragraph {p} " + "tide " * 40 for p in range(4)) for s in range(5))
+    lines = base.split("\n\n")[2].split("\n")
+    changed = lines[1][:150] + "X" + lines[1][151:]
+    edited = base.replace(lines[1], changed)
+    cut = base.replace(lines[1] + "\n", "")
+    pairs = [(base, edited), (edited, base), (base, base), (base, cut), (cut, base), (base + "\n\nnew", base), ("a\nb", "a\n"), ("a\n", "a\nb")]
+    df = merkle.with_fingerprint(merkle.with_fingerprint(spark.createDataFrame(pairs, "a string, b string"), "a", "fa"), "b", "fb")
+    got = [[tuple(x) for x in r["d"]] for r in df.select(merkle.differing("fa", "fb").alias("d")).collect()]
+    assert got[0] == got[1] == [(2, 1, 128, 64)] and got[2] == got[4] == [] and got[5] == [(5, 0, 0, 3)]
+    assert {x[:2] for x in got[3]} == {(2, 1)} and got[6] == [(0, 1, 0, 1)] and got[7] == [(0, 1, 0, 0)]
+
+
+def test_awkward_edits(spark, awkward):
+    rows = [(r["doc_id"], r["text"] or "") for r in awkward.collect()]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    want = Counter()
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        edited = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+        want[(i, len(t), slow_mark(t), slow_mark(edited), round(slow_likeness(t, edited), 9), round(slow_likeness(t, nxt), 9))] += 1
+    got = merkle.compare_with_next(awkward).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
 
 
 def test_edits_against_plain_version(spark, data, plain):
@@ -591,8 +666,23 @@ def test_next_row_over_many_buckets(spark, monkeypatch, rows):
     ids = [None, None, *[i * i * 7 - 20 for i in range(rows)], 10**17, -(2**63)]
     df = spark.createDataFrame([(x, f"t{x}{i}") for i, x in enumerate(ids)], "doc_id long, text string")
     got = {r["text"]: r["next_text"] for r in merkle.with_next(df, "doc_id", ["text"]).collect()}
-    order = [t for _, t in sorted(((x is not None, x or 0, f"t{x}{i}"), f"t{x}{i}") for i, x in enumerate(ids))]
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    order = [t for _, t in sorted(((x is not None, x or 0, md5(f"t{x}{i}")), f"t{x}{i}") for i, x in enumerate(ids))]
+    assert got == dict(zip(order, order[1:] + order[:1]))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_next_row_of_a_key_that_most_rows_share(spark, monkeypatch, kind):
+    monkeypatch.setattr(merkle, "BUCKET_ROWS", 5)
+    ids = [None] * 40 + [7] * 100 + list(range(40))
+    if kind == "string":
+        ids = [x if x is None else f"key{x}" for x in ids]
+    texts = [f"t{i}" for i in range(len(ids))]
+    got = {r["text"]: r["next_text"] for r in merkle.with_next(spark.createDataFrame(list(zip(ids, texts)), f"doc_id {kind}, text string"), "doc_id", ["text"]).collect()}
+    order = [t for _, _, _, t in sorted((x is not None, x or (0 if kind == "long" else ""), hashlib.md5(t.encode()).hexdigest(), t) for x, t in zip(ids, texts))]
     assert got == dict(zip(order, order[1:] + order[:1]))
+    with pytest.raises(TypeError):
+        merkle.with_next(spark.createDataFrame([(1.0, "a")], "doc_id double, text string"), "doc_id", ["text"])
 
 
 # 10 -----------------------------------------------------------------------------------------------------------------

@@ -1,10 +1,12 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and pieces of paragraphs.
 
 A text's sections are parted by empty lines (two line feeds), their paragraphs by line feeds. A paragraph's leaves are
-pieces whose lengths double every second piece, so a long paragraph has few leaves and a change at one place leaves
-the others alone. Digests of leaves make that of a paragraph, those that of a section, those the root. A fingerprint is
-the root and the leaves' shortened digests in order: equal roots mean equal texts, and different leaves show where two
-texts differ. All of it is built-in functions; no Python runs on the executors.
+pieces whose lengths double every few pieces, so a long paragraph has few leaves and a change at one place leaves the
+others alone. Digests of leaves make that of a paragraph, those that of a section, those the root. A fingerprint holds
+the whole tree with shortened digests, ``root:section/section``, each section as ``digest=paragraph;paragraph``, each
+paragraph as ``digest,length,leaf.leaf``. Equal roots mean equal texts; ``differing`` walks two trees down the branches
+that differ, to the pieces where the texts do; ``likeness`` is the share of text that two trees have in common, in the
+same order. All of it is built-in functions; no Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -12,83 +14,152 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: First piece of a paragraph in code points.
-PIECE = 16
+#: First piece of a paragraph in code points, and pieces of each length.
+PIECE, EACH = 32, 4
 #: Rows that a bucket of the order of ids aims at; buckets of the first and of the second level at most.
-BUCKET_ROWS, COARSE, FINE = 2000, 256, 256
-
-
-def piece_bounds(piece: int = PIECE, longest: int = 1 << 22) -> list[tuple[int, int]]:
-    """(start, length) of a paragraph's pieces: two of each length; the last has all the rest."""
-    out, at, n = [], 0, piece
-    while at < longest:
-        out += [(at, n), (at + n, n)]
-        at, n = at + 2 * n, 2 * n
-    return [*out, (at, (1 << 31) - 1)]
-
-
-def tree_column(text: str, piece: int = PIECE) -> Column:
-    """Digests of leaves by section and paragraph of a text column (named; null as empty)."""
-    bounds = ", ".join(f"struct({a} AS a, {n} AS n)" for a, n in piece_bounds(piece))
-    leaves = f"transform(filter(array({bounds}), b -> b.a < char_length(p)), b -> md5(substring(p, b.a + 1, b.n)))"
-    return F.expr(f"transform(split(coalesce({text}, ''), '\\n\\n'), s -> transform(split(s, '\\n'), p -> {leaves}))")
-
-
-def fingerprint_of(tree: str) -> Column:
-    """Root, colon, leaves joined by dots, of a tree column (named)."""
-    root = f"sha2(array_join(transform({tree}, s -> md5(array_join(transform(s, p -> md5(array_join(p, ''))), ''))), ''), 256)"
-    return F.expr(f"concat(substring({root}, 1, 32), ':', array_join(transform(flatten(flatten({tree})), x -> substring(x, 1, 8)), '.'))")
-
-
-def with_fingerprint(df: DataFrame, text: str, name: str, piece: int = PIECE) -> DataFrame:
-    tree = f"__tree_{name}"
-    return df.withColumn(tree, tree_column(text, piece)).withColumn(name, fingerprint_of(tree)).drop(tree)
-
-
-def likeness(a: str, b: str) -> Column:
-    """From 0 to 1: the share of leaves that two fingerprint columns (named) have in common, as sets; 1 if the roots
-    are equal."""
-    x, y = (f"array_distinct(split(substring({c}, 34), '[.]'))" for c in (a, b))
-    common = f"CAST(2 * size(array_intersect({x}, {y})) AS DOUBLE) / (size({x}) + size({y}))"
-    return F.expr(f"CASE WHEN left({a}, 32) = left({b}, 32) THEN 1.0D ELSE {common} END")
+BUCKET_ROWS, COARSE, FINE = 2000, 256, 1024
+
+
+def piece_start(i: str, power=lambda n, k: f"shiftleft({n}, {k})", half=lambda x: f"CAST({x} DIV {EACH} AS INT)") -> str:
+    """SQL for where a paragraph's piece number ``i`` (from 0) starts, from 0. ``power`` and ``half`` say how the dialect
+    doubles and divides."""
+    k = half(i)
+    return f"({PIECE * EACH} * ({power(1, k)} - 1) + ({i} % {EACH}) * {power(PIECE, k)})"
+
+
+def piece_count(n: str, power=lambda n, k: f"shiftleft({n}, {k})", div="DIV") -> str:
+    """SQL for the number of pieces of a paragraph of ``n`` code points (positive)."""
+    k = f"(length(bin(({n} - 1) {div} {PIECE * EACH} + 1)) - 1)"
+    return f"({EACH} * {k} + ({n} - {PIECE * EACH} * ({power(1, k)} - 1) - 1) {div} {power(PIECE, k)} + 1)"
+
+
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the fingerprint of a text column (named; null as empty). Each level of the tree is a step of its own, so no
+    digest is made twice."""
+    t = f"__tree_{name}"
+    leaf = f"md5(substring(p, {piece_start('i')} + 1, shiftleft({PIECE}, CAST(i DIV {EACH} AS INT))))"
+    leaves = f"CASE WHEN p = '' THEN CAST(array() AS ARRAY<STRING>) ELSE transform(sequence(0, CAST({piece_count('char_length(p)')} AS INT) - 1), i -> {leaf}) END"
+    out = df.withColumn(t, F.expr(f"transform(split(coalesce({text}, ''), '\\n\\n'), s -> transform(split(s, '\\n'), p -> struct(char_length(p) AS n, {leaves} AS x)))"))
+    out = out.withColumn(t, F.expr(f"transform({t}, s -> transform(s, p -> struct(md5(concat(p.n, ':', array_join(p.x, ''))) AS d, concat(p.n, ',', array_join(transform(p.x, y -> left(y, 8)), '.')) AS s)))"))
+    out = out.withColumn(t, F.expr(f"transform({t}, s -> struct(md5(array_join(transform(s, p -> p.d), '')) AS d, array_join(transform(s, p -> concat(left(p.d, 8), ',', p.s)), ';') AS s))"))
+    return out.withColumn(name, F.expr(f"concat(left(sha2(array_join(transform({t}, s -> s.d), ''), 256), 32), ':', array_join(transform({t}, s -> concat(left(s.d, 8), '=', s.s)), '/'))")).drop(t)
+
+
+def _pieces(paragraph: str) -> str:
+    """SQL for the leaves of a paragraph of a fingerprint: digest ``t``, length ``w`` and place ``i``."""
+    n = f"CAST(split({paragraph}, ',')[1] AS INT)"
+    return f"transform(filter(split(split({paragraph}, ',')[2], '[.]'), y -> y <> ''), (y, i) -> struct(y AS t, CAST(least(shiftleft({PIECE}, CAST(i DIV {EACH} AS INT)), {n} - {piece_start('i')}) AS INT) AS w))"
+
+
+def _sequence(fingerprint: str) -> str:
+    """SQL for the leaves in order, with the line feeds between them as leaves of their own."""
+    mark = lambda name, width, at: f"filter(array(struct('{name}' AS t, {width} AS w)), z -> {at} > 0)"
+    paragraphs = f"flatten(transform(split(substring(s, 10), ';'), (p, b) -> concat({mark('paragraph', 1, 'b')}, {_pieces('p')})))"
+    return f"flatten(transform(split(substring({fingerprint}, 34), '/'), (s, a) -> concat({mark('section', 2, 'a')}, {paragraphs})))"
+
+
+def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds the likeness of two fingerprint columns (named), from 0 to 1, and 1 only if the roots are equal.
+
+    Every leaf counts once by itself and once together with the leaf before it, so half of the likeness is what the
+    texts hold and half the order they hold it in; each counts as often as it occurs, by its length."""
+    x, y = f"__seq_a_{name}", f"__seq_b_{name}"
+    counted = lambda c, side: f"concat(transform({c}, z -> struct(z.t AS t, z.w AS w, {side} AS side)), transform({c}, (z, i) -> struct(concat(CASE WHEN i = 0 THEN '' ELSE {c}[i - 1].t END, '>', z.t) AS t, z.w AS w, {side} AS side)))"
+    start = "named_struct('t', '', 'w', 0, 'a', 0L, 'b', 0L, 'common', 0L, 'total', 0L)"
+    step = """CASE WHEN s.t = z.t AND s.w = z.w THEN named_struct('t', s.t, 'w', s.w, 'a', s.a + 1 - z.side, 'b', s.b + z.side, 'common', s.common, 'total', s.total + z.w)
+        ELSE named_struct('t', z.t, 'w', z.w, 'a', CAST(1 - z.side AS BIGINT), 'b', CAST(z.side AS BIGINT), 'common', s.common + least(s.a, s.b) * s.w, 'total', s.total + z.w) END"""
+    end = "named_struct('common', s.common + least(s.a, s.b) * s.w, 'total', s.total)"
+    out = df.withColumn(x, F.expr(_sequence(a))).withColumn(y, F.expr(_sequence(b)))
+    out = out.withColumn(x, F.expr(f"CASE WHEN left({a}, 32) = left({b}, 32) THEN NULL ELSE aggregate(array_sort(concat({counted(x, 0)}, {counted(y, 1)})), {start}, (s, z) -> {step}, s -> {end}) END"))
+    value = f"CASE WHEN {x} IS NULL THEN 1.0D ELSE least(CAST(2 * {x}.common AS DOUBLE) / {x}.total, 1.0D - 1.0D / {x}.total) END"
+    return out.withColumn(name, F.expr(value)).drop(x, y)
+
+
+def differing(a: str, b: str) -> Column:
+    """The places in the text of fingerprint column ``a`` (named) that the text of ``b`` lacks: an array of ``section``,
+    ``paragraph`` (within the section) and ``start`` and ``length`` (code points within the paragraph), by place.
+
+    Only sections whose digest ``b`` lacks are entered, only paragraphs of those whose digest is in none of the
+    sections of ``b`` that ``a`` lacks, and so with pieces. What ``b`` has and ``a`` lacks is ``differing(b, a)``; what
+    has only moved is in neither."""
+    sections = lambda c: f"split(substring({c}, 34), '/')"
+    lacking = lambda c, o: f"filter({sections(c)}, s -> NOT array_contains(transform({sections(o)}, z -> left(z, 8)), left(s, 8)))"
+    paragraphs = f"flatten(transform({lacking(b, a)}, s -> split(substring(s, 10), ';')))"
+    own = f"flatten(transform({lacking(a, b)}, s -> transform(split(substring(s, 10), ';'), p -> left(p, 8))))"
+    leaves = f"flatten(transform(filter({paragraphs}, p -> NOT array_contains({own}, left(p, 8))), p -> transform({_pieces('p')}, z -> z.t)))"
+    entered = f"filter(transform({sections(a)}, (s, k) -> struct(k AS k, s AS s)), x -> NOT array_contains(transform({sections(b)}, z -> left(z, 8)), left(x.s, 8)))"
+    below = f"filter(transform(split(substring(x.s, 10), ';'), (p, m) -> struct(m AS m, p AS p)), q -> NOT array_contains(transform({paragraphs}, z -> left(z, 8)), left(q.p, 8)))"
+    pieces = f"transform({_pieces('q.p')}, (z, i) -> struct(z.t AS t, struct(x.k AS section, q.m AS paragraph, CAST({piece_start('i')} AS INT) AS start, z.w AS length) AS place))"
+    empty = "CASE WHEN split(q.p, ',')[1] = '0' THEN array(struct(x.k AS section, q.m AS paragraph, 0 AS start, 0 AS length)) END"
+    found = f"coalesce({empty}, transform(filter({pieces}, z -> NOT array_contains({leaves}, z.t)), z -> z.place))"
+    return F.expr(f"flatten(transform({entered}, x -> flatten(transform({below}, q -> {found}))))")
 
 
 def with_next(df: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Adds ``next_<value>``: the value in the row with the next key (after the last row, of the first); nulls first,
-    rows with the same key by their values. ``values`` orders ties.
+    rows with the same key by the MD5 of the first value and then by the values. Keys are integers or strings (by
+    their bytes); others raise TypeError.
 
-    The order is cut into buckets: at quantiles of the keys, and evenly between these. The first row of each bucket is
-    copied to the end of the one before it, so that each bucket finds all its successors by itself.
+    The order is cut into buckets: at quantiles of the keys, evenly between these, and rows whose key is a quantile,
+    as every key is that many rows share, apart from these by their MD5. The first row of each bucket is copied to the
+    end of the one before it, so that each bucket finds all its successors by itself.
     """
-    n = df.count()
+    kind = dict(df.dtypes)[key]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "string"):
+        raise TypeError(f"keys of type {kind} have no buckets")
+    pos = f"CAST({key} AS BIGINT)" if kind != "string" else f"CAST(conv(rpad(left(hex(encode({key}, 'UTF-8')), 12), 12, '0'), 16, 10) AS BIGINT)"
+    keyed = df.withColumn("__pos", F.expr(pos)).withColumn("__h", F.md5(F.coalesce(F.col(values[0]).cast("string"), F.lit(""))))
+    found = keyed.agg(F.count("*").alias("n"), F.min("__pos").alias("a"), F.max("__pos").alias("z"), F.percentile_approx("__pos", [i / COARSE for i in range(1, COARSE)], 10_000).alias("q")).first()
+    n, low, high = found["n"], found["a"] or 0, found["z"] or 0
     coarse = max(1, min(COARSE, -(-n // BUCKET_ROWS)))
     fine = max(1, min(FINE, -(-n // (coarse * BUCKET_ROWS))))
-    cuts = [i / coarse for i in range(1, coarse)]
-    found = df.agg(F.min(key).alias("a"), F.max(key).alias("z"), F.percentile_approx(key, cuts or [0.5], 10_000).alias("q")).first()
-    inner = sorted({q for q in (found["q"] or []) if q > found["a"]}) if cuts and found["a"] is not None else []
-    bounds = [found["a"] or 0, *inner, (found["z"] or 0) + 1]
-    lows = "array(" + ", ".join(f"CAST({b} AS DECIMAL(38,0))" if not -(2**63) <= b < 2**63 else f"{b}L" if b > -(2**63) else f"(-{2**63 - 1}L - 1L)" for b in bounds[:-1]) + ")"
-    spans = "array(" + ", ".join(f"{float(b - a)!r}D" for a, b in zip(bounds, bounds[1:])) + ")"
-    bucketed = df.withColumn("__c", F.expr(f"CASE WHEN {key} IS NULL THEN 0 ELSE size(filter({lows}, b -> b <= {key})) END"))
-    bucketed = bucketed.withColumn("__f", F.expr(f"CASE WHEN __c = 0 THEN 0 ELSE CAST(least({fine - 1}, floor((CAST({key} AS DOUBLE) - CAST(element_at({lows}, greatest(__c, 1)) AS DOUBLE)) / element_at({spans}, greatest(__c, 1)) * {fine})) AS INT) END"))
-    heads = bucketed.groupBy("__c", "__f").agg(F.min(key).alias("__head"))  # at most (COARSE + 1) * FINE rows
-    order = Window.orderBy("__c", "__f")
-    back = Window.orderBy(F.desc("__c"), F.desc("__f"))
-    heads = heads.select("__c", "__f", "__head", F.lag("__c").over(order).alias("pc"), F.lag("__f").over(order).alias("pf"), F.first("__c").over(back).alias("lc"), F.first("__f").over(back).alias("lf"))
-    heads = heads.select("__c", "__f", "__head", F.coalesce("pc", "lc").alias("pc"), F.coalesce("pf", "lf").alias("pf"))
-    joined = bucketed.join(F.broadcast(heads.withColumnRenamed("__c", "hc").withColumnRenamed("__f", "hf")), F.expr(f"__c = hc AND __f = hf AND {key} <=> __head"), "left")
-    spread = joined.withColumn("__to", F.explode(F.expr("filter(array(struct(__c AS c, __f AS f, 0 AS copy), struct(pc AS c, pf AS f, 1 AS copy)), x -> x.c IS NOT NULL)")))
-    names = df.columns
-    spread = spread.select(*[f"`{c}`" for c in names], "__to.c", "__to.f", "__to.copy")
-    w = Window.partitionBy("c", "f").orderBy("copy", F.col(key).asc_nulls_first(), *[F.col(v).asc_nulls_first() for v in values])
-    nexts = spread.select(*[f"`{c}`" for c in names], "copy", *[F.lead(v).over(w).alias(f"next_{v}") for v in values])
-    return nexts.filter("copy = 0").drop("copy")
-
-
-def fingerprint_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", piece: int = PIECE) -> DataFrame:
+    bounds = [low, *sorted({q for q in (found["q"] or [])[COARSE // coarse - 1 :: COARSE // coarse] if q > low})]
+    number = lambda b: f"{b}L" if b > -(2**63) else f"(-{2**63 - 1}L - 1L)"
+    lows = "array(" + ", ".join(map(number, bounds)) + ")"
+    spans = "array(" + ", ".join(f"{float(max(1, b - a))!r}D" for a, b in zip(bounds, [*bounds[1:], high + 1])) + ")"
+    keyed = keyed.withColumn("__c", F.expr(f"CASE WHEN __pos IS NULL THEN 0 ELSE size(filter({lows}, b -> b <= __pos)) END"))
+    keyed = keyed.withColumn("__b", F.expr(f"CASE WHEN __c = 0 OR __pos = element_at({lows}, greatest(__c, 1)) THEN 0 ELSE 1 END"))
+    parts = {}
+    if n > BUCKET_ROWS and kind != "string":  # rows with one key, of which a bucket has many: at most COARSE counts
+        parts = {r["__c"]: min(FINE, -(-r["n"] // BUCKET_ROWS)) for r in keyed.filter("__b = 0").groupBy("__c").agg(F.count("*").alias("n")).collect()}
+    of = "array(" + ", ".join(str(parts.get(c, 1)) for c in range(len(bounds) + 1)) + ")"
+    share = "CAST(conv(left(__h, 8), 16, 10) AS BIGINT) / 4294967296.0D"
+    between = f"(CAST(__pos AS DOUBLE) - CAST(element_at({lows}, greatest(__c, 1)) AS DOUBLE)) / element_at({spans}, greatest(__c, 1))"
+    keyed = keyed.withColumn("__f", F.expr(f"CAST(CASE WHEN __b = 0 THEN floor({share} * {of}[__c]) ELSE least({fine - 1}, floor({between} * {fine})) END AS INT)"))
+    heads = keyed.groupBy("__c", "__b", "__f").agg(F.min(F.struct(key, "__h")).alias("head"))  # at most 2 * COARSE * FINE rows
+    order, back = Window.orderBy("__c", "__b", "__f"), Window.orderBy(F.desc("__c"), F.desc("__b"), F.desc("__f"))
+    place = F.struct(F.col("__c").alias("c"), F.col("__b").alias("b"), F.col("__f").alias("f"))
+    heads = heads.select(place.alias("__at"), F.col("head").getField(key).alias("__hk"), F.col("head.__h").alias("__hh"), F.coalesce(F.lag(place).over(order), F.first(place).over(back)).alias("__before"))
+    rows = keyed.withColumn("__at", place).drop("__pos", "__c", "__b", "__f")
+    rows = rows.withColumnRenamed("__at", "__own").join(F.broadcast(heads), F.expr(f"__own = __at AND {key} <=> __hk AND __h = __hh"), "left")
+    spread = rows.withColumn("__to", F.explode(F.expr("filter(array(struct(__own AS at, 0 AS copy), struct(__before AS at, 1 AS copy)), x -> x.at IS NOT NULL)")))
+    names = [f"`{c}`" for c in df.columns]
+    spread = spread.select(*names, "__h", F.col("__to.at.c").alias("__c"), F.col("__to.at.b").alias("__b"), F.col("__to.at.f").alias("__f"), F.col("__to.copy").alias("__copy"))
+    w = Window.partitionBy("__c", "__b", "__f").orderBy("__copy", F.col(key).asc_nulls_first(), "__h", *[F.col(v).asc_nulls_first() for v in values])
+    nexts = spread.select(*names, "__copy", *[F.lead(v).over(w).alias(f"next_{v}") for v in values])
+    return nexts.filter("__copy = 0").drop("__copy")
+
+
+def fingerprint_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: the id and ``fingerprint``.
 
     Defined cases: null text as empty text (its tree has one empty paragraph and no leaves); a line feed more or less
     changes the root; repeated rows give a row each; an empty table gives an empty table; a null id stays null.
     """
-    return with_fingerprint(df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", "fingerprint", piece).drop("text")
+    return with_fingerprint(df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", "fingerprint").drop("text")
+
+
+def compare_with_next(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per input row: the id, ``n_chars``, the fingerprints of its text and of its edited text (the last quarter
+    of its code points replaced by the first as many of the next row's text), the SHA-256 of the edited text, and
+    the likeness of its fingerprint to the edited text's and to the next row's.
+
+    Defined cases: as for ``with_next`` and ``fingerprint_documents``; the only row of a table is its own next.
+    """
+    docs = with_fingerprint(df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", "fingerprint")
+    pairs = with_next(docs, id_col, ["text", "fingerprint"])
+    edited = F.expr("concat(left(text, char_length(text) - char_length(text) div 4), left(next_text, char_length(text) div 4))")
+    both = with_fingerprint(pairs.withColumn("edited", edited), "edited", "edited_fingerprint")
+    out = both.select(id_col, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_fingerprint")
+    out = with_likeness(with_likeness(out, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
+    return out.drop("next_fingerprint")

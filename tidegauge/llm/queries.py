@@ -57,14 +57,7 @@ def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = merkle.with_next(merkle.with_fingerprint(docs, "text", "fingerprint"), "doc_id", ["text", "fingerprint"])
-    edited = F.expr("concat(left(text, char_length(text) - char_length(text) div 4), left(next_text, char_length(text) div 4))")
-    both = merkle.with_fingerprint(marked.withColumn("edited", edited), "edited", "edited_fingerprint")
-    return both.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        merkle.likeness("fingerprint", "edited_fingerprint").alias("near_edited"), merkle.likeness("fingerprint", "next_fingerprint").alias("near_next"),
-    )
+    return merkle.compare_with_next(table(spark, sf_dir, "documents"))
 
 
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,30 +68,45 @@ QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_simhash_trie, op3_
 
 
 def _merkle_sql() -> str:
-    bounds = ", ".join(f"{{'a': {a}, 'n': {n}}}" for a, n in merkle.piece_bounds())
+    """The trees by nested lists; the likeness by a row for each leaf, with and without the one before it."""
+    power, half = (lambda n, k: f"({n}::BIGINT << ({k})::INT)"), (lambda x: f"({x} // {merkle.EACH})")
+    start = lambda i: merkle.piece_start(i, power, half)
+    size = power(merkle.PIECE, half("i"))
 
     def tree(text: str) -> str:
-        return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(list_filter([{bounds}], lambda b: b.a < length(p)), lambda b: md5(substring(p, b.a + 1, b.n)))))"
+        leaves = f"list_transform(CASE WHEN p = '' THEN []::BIGINT[] ELSE range({merkle.piece_count('length(p)', power, '//')}) END, lambda i: md5(substring(p, {start('i')} + 1, {size})))"
+        return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: {{'n': length(p), 'x': {leaves}}}))"
 
     def mark(tree: str) -> str:
-        root = f"sha256(array_to_string(list_transform({tree}, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))), ''))"
-        return f"substring({root}, 1, 32) || ':' || array_to_string(list_transform(flatten(flatten({tree})), lambda x: substring(x, 1, 8)), '.')"
-
-    def near(a: str, b: str) -> str:
-        x, y = (f"list_distinct(string_split(substring({c}, 34), '.'))" for c in (a, b))
-        return f"CASE WHEN left({a}, 32) = left({b}, 32) THEN 1.0::DOUBLE ELSE (2 * len(list_intersect({x}, {y})))::DOUBLE / (len({x}) + len({y})) END"
-
+        of = "md5(p.n || ':' || array_to_string(p.x, ''))"
+        section = f"md5(array_to_string(list_transform(s, lambda p: {of}), ''))"
+        paragraph = f"left({of}, 8) || ',' || p.n || ',' || array_to_string(list_transform(p.x, lambda y: left(y, 8)), '.')"
+        return f"left(sha256(array_to_string(list_transform({tree}, lambda s: {section}), '')), 32) || ':' || array_to_string(list_transform({tree}, lambda s: left({section}, 8) || '=' || array_to_string(list_transform(s, lambda p: {paragraph}), ';')), '/')"
+
+    def leaves(c: str) -> str:
+        pieces = f"list_transform(list_filter(string_split(string_split(p, ',')[3], '.'), lambda y: y <> ''), lambda y, j: {{'t': y, 'w': least({power(merkle.PIECE, half('(j - 1)'))}, string_split(p, ',')[2]::BIGINT - {start('(j - 1)')})}})"
+        sep = lambda name, width, at: f"CASE WHEN {at} > 1 THEN [{{'t': '{name}', 'w': {width}::BIGINT}}] ELSE [] END"
+        paragraphs = f"flatten(list_transform(string_split(substring(s, 10), ';'), lambda p, b: list_concat({sep('paragraph', 1, 'b')}, {pieces})))"
+        return f"flatten(list_transform(string_split(substring({c}, 34), '/'), lambda s, a: list_concat({sep('section', 2, 'a')}, {paragraphs})))"
+
+    def near(name: str, other: str) -> str:
+        rows = " UNION ALL ".join(f"SELECT nth, {side} AS side, unnest(list_transform(l, lambda z, j: {{'t': CASE WHEN j = 1 THEN '' ELSE l[j - 1].t END || '>' || z.t, 'u': z.t, 'w': z.w}})) AS z FROM (SELECT nth, {leaves(c)} AS l FROM ef)" for side, c in ((0, "fingerprint"), (1, other)))
+        return f"""{name}_leaves AS ({rows}), {name}_rows AS (SELECT nth, side, z.u AS t, z.w AS w FROM {name}_leaves UNION ALL SELECT nth, side, z.t, z.w FROM {name}_leaves),
+    {name}_counts AS (SELECT nth, t, w, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM {name}_rows GROUP BY ALL), {name} AS (SELECT nth, sum(least(a, b) * w) AS common, sum((a + b) * w) AS total FROM {name}_counts GROUP BY 1)"""
+
+    value = lambda name, other: f"CASE WHEN left(fingerprint, 32) = left({other}, 32) THEN 1.0::DOUBLE ELSE least((2 * {name}.common)::DOUBLE / {name}.total::DOUBLE, 1.0::DOUBLE - 1.0::DOUBLE / {name}.total::DOUBLE) END AS {name}"
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     t AS (SELECT *, {tree('text')} AS tree FROM d),
     f AS (SELECT doc_id, text, {mark('tree')} AS fingerprint FROM t),
-    o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text, fingerprint) AS nth FROM f),
+    o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(text), text) AS nth FROM f),
     n AS (SELECT o.*, p.text AS next_text, p.fingerprint AS next_fingerprint FROM o JOIN o p ON p.nth = CASE WHEN o.nth = (SELECT count(*) FROM f) THEN 1 ELSE o.nth + 1 END),
     e AS (SELECT *, substring(text, 1, length(text) - length(text) // 4) || substring(next_text, 1, length(text) // 4) AS edited FROM n),
     et AS (SELECT *, {tree('edited')} AS etree FROM e),
-    ef AS (SELECT *, {mark('etree')} AS edited_fingerprint FROM et)
-    SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
-      {near('fingerprint', 'edited_fingerprint')} AS near_edited, {near('fingerprint', 'next_fingerprint')} AS near_next FROM ef"""
+    ef AS (SELECT *, {mark('etree')} AS edited_fingerprint FROM et),
+    {near('near_edited', 'edited_fingerprint')}, {near('near_next', 'next_fingerprint')}
+    SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, {value('near_edited', 'edited_fingerprint')}, {value('near_next', 'next_fingerprint')}
+    FROM ef LEFT JOIN near_edited USING (nth) LEFT JOIN near_next USING (nth)"""
 
 
 def _sharding_sql() -> str:
