@@ -115,9 +115,29 @@ def test_bands_reject_both_ends():
     noise = bytes(rng.randrange(256) for _ in range(9000))
     assert quality_rules.compression_verdict(b"again and again " * 400, bands, z)[1] == -1
     assert quality_rules.compression_verdict(noise, bands, z)[1] == 1
-    parts = ["ti", "de", "ro", "se", "slow", "ly", "grey", "sto", "nes", "boat", "wai", "ted", "moon", "har", "bour", "light", "ing", "er"]
-    prose = " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(900)).encode()
-    assert quality_rules.compression_verdict(prose, bands, z)[3]
+    assert [bands.verdict(n, r) for n, r in ((63, 9.0), (64, 0.1), (64, 0.9), (90, 1.19), (1 << 22, 0.32), (1 << 22, 0.4))] == [0, -1, 0, 1, -1, 0]
+    assert all(a[1] >= b[1] and a[2] >= b[2] for a, b in zip(bands.points, bands.points[1:]))
+    assert bands.limits(2896)[0] == pytest.approx(0.452 + (0.438 - 0.452) * math.log(2896 / 2048) / math.log(1.5))
+
+
+def test_bands_tell_labelled_texts_apart(spark):
+    """Texts that pass the base rules: nearly all good ones are kept, and most bad ones of 2048 bytes and more go."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("quality IS NOT NULL")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id")
+    got = quality_rules.quality_rules(docs).join(docs.select("doc_id", "quality", F.octet_length("text").alias("n")), "doc_id").filter("NOT base_failed").toPandas()
+    good, bad = got[got["quality"] == 1], got[got["quality"] == 0]
+    assert good["kept"].mean() > 0.995
+    assert bad[bad["n"] >= 2048]["kept"].mean() < 0.25 and not bad[bad["n"] >= 8192]["kept"].any()
+
+
+def test_bands_of_a_corpus(spark, docs):
+    again = docs.crossJoin(spark.range(3)).drop("id")
+    found = quality_rules.bands_of(again, least=10)
+    assert len(found.points) > 5 and all(0 < low < high for _, low, high in found.points)
+    kept = quality_rules.quality_rules(docs, bands=found).filter("NOT base_failed")
+    assert kept.filter("band <> 0").count() <= 0.05 * kept.count()
+    assert quality_rules.bands_of(docs.limit(0)) == quality_rules.Bands()
 
 
 @pytest.mark.parametrize("n", [512, 700, 1024, 1500, 3000, 4096, 8192, 20000])

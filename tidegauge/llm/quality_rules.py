@@ -7,9 +7,10 @@ text is repetitive, above it it is incompressible (random or encoded data).
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,24 +22,38 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits by length. ``starts`` are the first byte lengths of the bands, ``low`` and ``high`` the ratios that a
-    text of such a length must stay between. A text under ``starts[0]`` bytes has no limits: the frame that zstandard
-    adds outweighs the text. The upper limits lie above what texts of each length reach (all documents, manuals and
-    licenses) and from 384 bytes on below base64 and from 512 on below random words; hex digits compress as well as
-    text does and are over the limit from 8192 bytes on only. Of the chunks of ``chunk_bytes`` bytes, at most ``max_bad_chunks`` may leave the band of
-    their own length."""
-
-    starts: tuple[int, ...] = (64, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048, 3072, 4096, 8192, 32768)
-    low: tuple[float, ...] = (0.45, 0.42, 0.42, 0.38, 0.38, 0.36, 0.36, 0.33, 0.33, 0.30, 0.30, 0.30, 0.28, 0.25)
-    high: tuple[float, ...] = (1.20, 1.08, 0.96, 0.88, 0.83, 0.77, 0.73, 0.69, 0.66, 0.65, 0.58, 0.54, 0.50, 0.48)
+    """Limits by length. ``points``: byte lengths, in order, each with the ratios that a text of that length must stay
+    between; between two points the limits follow the logarithm of the length. A text under the first length has no
+    limits, as the frame that zstandard adds outweighs the text; beyond the last its limits stay.
+
+    The points lie 1 to 5 % below the least ratio that documents labelled as good reach at a length (0.554 at 512
+    bytes, 0.462 at 2048, 0.438 at 4096, 0.423 at 8192, 0.398 at 32768), and above the largest of all documents,
+    manuals and licenses; base64 is over them from 384 bytes on, random words from 512 on, hex digits, which compress
+    as well as text does, from 8192 bytes on. ``bands_of`` finds points for other text. Of the chunks of
+    ``chunk_bytes`` bytes, at most ``max_bad_chunks`` may leave the band of their own length."""
+
+    points: tuple[tuple[int, float, float], ...] = (
+        (64, 0.70, 1.20), (128, 0.66, 1.08), (256, 0.57, 0.88), (384, 0.55, 0.83), (512, 0.535, 0.77), (768, 0.50, 0.73), (1024, 0.475, 0.69), (2048, 0.452, 0.65), (3072, 0.438, 0.58), (4096, 0.430, 0.54),
+        (8192, 0.413, 0.50), (16384, 0.401, 0.49), (32768, 0.390, 0.48), (65536, 0.378, 0.48), (1048576, 0.33, 0.48),
+    )
     chunk_bytes: int = 4096
     max_bad_chunks: float = 0.5
     level: int = 3
 
+    def limits(self, n: int) -> tuple[float, float] | None:
+        k = bisect_right(self.points, n, key=lambda p: p[0])
+        if not k:
+            return None
+        if k == len(self.points):
+            return self.points[-1][1:]
+        (a, *before), (z, *after) = self.points[k - 1 : k + 1]
+        share = math.log(n / a) / math.log(z / a)
+        return tuple(x + share * (y - x) for x, y in zip(before, after))
+
     def verdict(self, n: int, ratio: float) -> int:
         """-1 under the band (repetitive), 1 over it (incompressible), else 0."""
-        k = bisect_right(self.starts, n) - 1
-        return 0 if k < 0 else -1 if ratio < self.low[k] else 1 if ratio > self.high[k] else 0
+        found = self.limits(n)
+        return 0 if found is None or found[0] <= ratio <= found[1] else -1 if ratio < found[0] else 1
 
 
 def repeated_words(words: list) -> int:
@@ -115,3 +130,14 @@ def quality_rules(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     rated = df.select(F.col(id_col), rules_column(F.col(text_col), bands).alias("r"))
     return rated.select(id_col, "r.*")
+
+
+def bands_of(df: DataFrame, text_col: str = "text", share: float = 0.001, margin: float = 0.03, least: int = 100, bands: Bands = Bands()) -> Bands:
+    """Bands for the texts of ``df``, which should be good ones: by half octaves of the length, the ratios that all but
+    ``share`` of the texts at either end stay between, widened by ``margin``. Lengths with fewer than ``least`` texts
+    that pass the base rules give no point; without any point the limits of ``bands`` stay. Null texts are left out.
+    """
+    rated = df.select(F.octet_length(text_col).alias("n"), rules_column(F.col(text_col), bands).alias("r")).filter("n >= 64 AND NOT r.base_failed")
+    of = rated.groupBy(F.floor(F.log2("n") * 2).alias("k")).agg(F.count("*").alias("n"), F.percentile_approx("r.ratio", [share, 1 - share], 10_000).alias("q"))
+    found = sorted((round(2 ** (r["k"] / 2)), r["q"]) for r in of.filter(F.col("n") >= least).collect())  # two rows an octave
+    return replace(bands, points=tuple((n, low * (1 - margin), high * (1 + margin)) for n, (low, high) in found) or bands.points)
