@@ -359,14 +359,95 @@ def test_battery_tells_keys_from_words():
     assert not any(secret_scan.random_spans(p, b, pattern) for p in plain)
 
 
-@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", secret_scan.UPPER + "234567", secret_scan.UPPER, secret_scan.LOWER])
-def test_keys_of_small_alphabets(alphabet):
-    b, rng = secret_scan.Battery(), np.random.default_rng(11)
+ALPHABETS = {
+    "hex": "0123456789abcdef", "hex_upper": "0123456789ABCDEF", "base32": secret_scan.UPPER + "234567", "upper": secret_scan.UPPER, "lower": secret_scan.LOWER, "base36": secret_scan.DIGITS + secret_scan.LOWER,
+    "base62": secret_scan.UPPER + secret_scan.LOWER + secret_scan.DIGITS, "base64": secret_scan.UPPER + secret_scan.LOWER + secret_scan.DIGITS + "+/",
+}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_power_by_encoding(name):
+    b, rng, alphabet = secret_scan.Battery(), np.random.default_rng(11), list(ALPHABETS[name])
     find = lambda text: secret_scan.random_spans(text, b, secret_scan.candidate_pattern(b))
     for n in (20, 24, 32, 40):
-        assert sum(bool(find(f"the key {''.join(rng.choice(list(alphabet), n))} is new")) for _ in range(200)) > 170
+        assert sum(bool(find(f"the key {''.join(rng.choice(alphabet, n))} is new")) for _ in range(200)) > (170 if n == 20 else 180)
+
+
+def test_ordinary_runs_are_left_alone(plain):
+    b = secret_scan.Battery()
+    find = lambda text: secret_scan.random_spans(text, b, secret_scan.candidate_pattern(b))
     ordinary = ["usr/local/lib/python3/site-packages/numpy/core", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "electroencephalographically", "MAX_BUFFER_SIZE_IN_BYTES_2048", "getElementByIdOrNameFromTheCache", "2024-01-01/2024-12-31_report-final", "erberbeeinheitkeiter"]
     assert not any(map(find, ordinary))
+    # words of the table without their blanks, as long as keys and longer
+    rng = np.random.default_rng(3)
+    every = [w for t in plain["text"].dropna() for w in re.findall(r"[A-Za-z]+", t)]
+    for glue in ("", "_", "-", "/"):
+        runs = [glue.join(rng.choice(every, 6)) for _ in range(500)]
+        assert sum(bool(find(f"see {x} there")) for x in runs if len(x) >= 20) <= 10
+
+
+def slow_tests(run):
+    """The three tests, one symbol after another, and the comparisons with ordinary text."""
+    body = run.rstrip("=")
+    name, alphabet, excess = next((n, a, e) for n, a, e in secret_scan.ENCODINGS if set(body) <= set(a))
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    x, n, k = [alphabet.index(c) for c in body], len(body), len(alphabet)
+    chi = sum((x.count(i) - n / k) ** 2 / (n / k) for i in range(k))
+    uniform = tail((chi - k + 1) / math.sqrt(2 * (k - 1) * (n - 1) / n))
+    high = [v >= k / 2 for v in x]
+    n1, n2 = sum(high), n - sum(high)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    if n1 and n2:
+        mean, var = 1 + 2 * n1 * n2 / n, 2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1))
+        of_runs = 2 * tail(abs(runs - mean) / math.sqrt(var)) if var else 1.0
+    else:
+        of_runs = 2.0 ** (1 - n)
+    m = sum(x) / n
+    var = sum((v - m) ** 2 for v in x) / n
+    r = sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / (n - 1) / var if var else 1.0
+    serial = 2 * tail(abs(r) * math.sqrt(n - 1))
+    half = -sum(math.log(max(1e-300, p)) for p in (uniform, of_runs, serial))
+    battery = math.exp(-half) * (1 + half + half * half / 2)
+    ordinary = tail((k - 1 + n * excess - chi) / math.sqrt(2 * (k - 1) + 4 * n * excess))
+    if name == "decimal":
+        return name, battery, ordinary
+    symbols, logs = secret_scan.LOWER + secret_scan.UPPER + secret_scan.DIGITS + "+/-_", -n * math.log(k) - math.log(len(secret_scan.ENCODINGS))
+    for i, c in enumerate(body):
+        row = len(symbols) if not i else symbols.index(body[i - 1])
+        if i > 1 and body[i - 1].isupper() and body[i - 2].isupper():
+            row = len(symbols) + 1 + symbols.index(body[i - 1]) - 26
+        logs -= secret_scan._ORDINARY[row, symbols.index(c)]
+    return name, battery, min(1.0, 2 * min(ordinary, math.exp(min(0.0, -logs))))
+
+
+def test_battery_against_plain_version():
+    rng = np.random.default_rng(2)
+    runs = ["".join(rng.choice(list(a), n)) for a in [*ALPHABETS.values(), "ab", "0123456789"] for n in (20, 33, 80)]
+    runs += ["a" * 20, "internationalizationandlocalization", "MAX_BUFFER_SIZE_IN_BYTES", "abcdefghijklmnopqrstuvwxyz==", "9" * 40, "aB3" * 9]
+    for run in runs:
+        got, want = secret_scan.tests(run), slow_tests(run)
+        assert got[0] == want[0] and got[1:] == pytest.approx(want[1:], rel=1e-6, abs=1e-12)
+    # the rule over all runs of a text: the largest p-value below its share of the limit, and all below that
+    b = secret_scan.Battery()
+    text = " ".join(runs)
+    tested = [(m.start(), m.end(), *slow_tests(m.group())[1:]) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text)]
+    reached = [p for *_, p in tested if p <= b.false_discoveries * sum(q <= p for *_, q in tested) / len(tested)]
+    want = [(a, z) for a, z, good, p in tested if reached and p <= max(reached) and good >= b.random_level]
+    assert secret_scan.random_spans(text, b, secret_scan.candidate_pattern(b)) == want and len(want) > 10
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    rng = np.random.default_rng(4)
+    parts = ["AKIA" + "".join(rng.choice(list("ABCDEFGHIJ"), 16)) + " " + "".join(rng.choice(list(ALPHABETS["base62"]), 30)) for _ in range(20_000)]
+    b, began = secret_scan.Battery(), time.process_time()
+    base, spans = secret_scan.all_spans(" ".join(parts), b, secret_scan.candidate_pattern(b))
+    assert len(base) == 20_000 and len(spans) > 38_000 and time.process_time() - began < 20
+    inside = lambda a, z: any(x <= a and z <= y for x, y, _ in base[:50])
+    few = " ".join(parts[:50])
+    base, spans = secret_scan.all_spans(few, b, secret_scan.candidate_pattern(b))
+    assert [(a, z) for a, z, k in spans if k == 3] == [x for x in secret_scan.random_spans(few, b, secret_scan.candidate_pattern(b)) if not inside(*x)]
 
 
 def test_redaction():

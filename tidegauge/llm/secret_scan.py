@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -156,7 +158,12 @@ def candidate_pattern(battery: Battery) -> re.Pattern:
 def all_spans(text: str, battery: Battery, candidate: re.Pattern) -> tuple[list, list]:
     """The spans of the fixed patterns, and those with the random runs that lie in none of them."""
     base = base_spans(text)
-    more = [(a, b, 3) for a, b in random_spans(text, battery, candidate) if not any(x <= a and b <= y for x, y, _ in base)]
+    starts, ends = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+    more = []
+    for a, b in random_spans(text, battery, candidate):
+        before = bisect_right(starts, a)  # of the base spans that start by then, one ends at b or later
+        if not before or ends[before - 1] < b:
+            more.append((a, b, 3))
     return base, sorted(base + more, key=lambda x: (x[0], x[2]))
 
 
