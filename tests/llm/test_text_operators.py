@@ -297,20 +297,26 @@ def test_components_of_a_long_chain(spark):
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_phrases_against_plain_parse():
-    sample = "the tide rose and the boats rose with it"
-    parser = language_id.CrossParser({"en": sample.encode()}, language_id.Settings(block=16))
-    text = language_id.fold("the boats and zq tide rose again")
-    count = 0
-    for a in range(0, len(text), 16):
-        part, i = bytes(text[a : a + 16]).decode(), 0
-        while i < len(part):
-            n = 1
-            while i + n <= len(part) and part[i : i + n] in sample:
-                n += 1
-            i += max(1, n - 1)
-            count += 1
-    assert parser.phrases([text])[0, 0] == count
+def slow_phrases(text, sample):
+    count, i = 0, 0
+    while i < len(text):
+        n = 1
+        while i + n <= len(text) and text[i : i + n] in sample:
+            n += 1
+        i += max(1, n - 1)
+        count += 1
+    return count
+
+
+@pytest.mark.parametrize("block", [1, 4, 16, 512])
+def test_phrases_against_plain_parse(block):
+    """Whatever the blocks, a text's phrases are those of a parse of the whole, also where no block finds its way."""
+    rng = np.random.default_rng(block)
+    samples = {"a": b"the tide rose and the boats rose with it", "b": bytes(rng.choice(list(b"ab "), 300).tolist()), "c": b"abcab" * 9, "d": b"a" * 7}
+    parser = language_id.CrossParser(samples, language_id.Settings(block=block))
+    texts = ["the boats and zq tide rose again", "a" * 3000, "abcab" * 400, "", "x", "".join(rng.choice(list("ab cx"), 2500)), "the tide rose " * 150, "É" * 40]
+    folded = [language_id.fold(x) for x in texts * 3]
+    assert parser.phrases(folded).tolist() == [[slow_phrases(bytes(x), samples[l]) for l in "abcd"] for x in folded]
 
 
 def test_language_accuracy_on_held_out(docs, plain):
@@ -326,6 +332,15 @@ def test_unknown_language(spark):
     assert got[2] == got[3] == "und"
 
 
+def test_samples_are_whole_texts_and_every_language_counts(spark):
+    rows = [(i, f"{w} " * 40, lang) for i, (w, lang) in enumerate([("tide", ""), ("meer", "de"), ("mer", "fr")] * 40)] + [(500 + i, "x" * 90_000, "de") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = language_id.learn(df, settings=language_id.Settings(sample_bytes=4096))
+    assert parser.langs == ["", "de", "fr"]
+    got = {(r["doc_id"], r["lang_pred"]) for r in language_id.identify_languages(df).collect() if r["doc_id"] < 500}
+    assert got == {(i, lang) for i, _, lang in rows if i < 500}
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 

@@ -5,9 +5,10 @@ longest phrases that occur in the sample; the fewer phrases it takes, the closer
 number of phrases times log2 of the sample's size, over the length, estimates the cross entropy in bits a byte; the
 language with the least wins.
 
-The automata are small tables over folded bytes (ASCII letters in lower case; all other ASCII bytes as one blank;
-bytes over 127 as they are). Texts are cut into blocks of ``block`` bytes, at whose ends a phrase ends, so that many
-blocks are parsed in step; every byte of a text is parsed.
+The automata are small tables over folded bytes (letters in lower case; ASCII bytes that are no letters as one blank;
+bytes over 127 as they are). So that many texts advance in step, a text is parsed in blocks from a fresh start each;
+then the parse that comes in from the block before goes on until it is in the same state as the block's own, from where
+both are one. The number of phrases is that of the parse of the whole text.
 """
 
 from __future__ import annotations
@@ -26,11 +27,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_bytes``: the bound on the text learnt for a language; ``total_bytes``: on that for all languages
-    together; ``sample_texts``: texts that a language's sample is taken from, each for an equal part at most."""
+    """``sample_bytes``: the bound on the text learnt for a language (its table takes about 250 times as many bytes in
+    every worker); ``sample_texts``: on the texts that it is taken from; ``block``: bytes that are parsed in step."""
 
     sample_bytes: int = 49_152
-    total_bytes: int = 393_216
     sample_texts: int = 64
     block: int = 512
 
@@ -38,11 +38,10 @@ class Settings:
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[:128] = 32
 FOLD[97:123] = np.arange(97, 123)
-FOLD[65:91] = np.arange(97, 123)
 
 
 def fold(text: str) -> np.ndarray:
-    return FOLD[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    return FOLD[np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)]
 
 
 def suffix_automaton(data: bytes) -> list[dict[int, int]]:
@@ -115,25 +114,65 @@ class CrossParser:
             if n:
                 flat[at : at + n].reshape(-1)[: len(text)] = self.classes[text]
                 at += n
-        offset = np.arange(n_langs)[:, None] * self.width
-        for a in range(0, len(owner), 4096):
-            part = np.ascontiguousarray(flat[a : a + 4096].T).astype(np.int32)
-            starts = self.starts[:, None]
-            state = np.repeat(starts, part.shape[1], axis=1)
-            count = np.zeros(state.shape, np.int32)
-            roots = self.roots.ravel()
-            for c in part:
-                new = self.table.take(state * self.width + c)
-                ended = new < 0
-                after = np.where(ended, roots.take(offset + c), new)
-                # the phrase before ends; a byte that no sample has is a phrase of its own
-                count += (ended & (state != starts)).view(np.uint8)
-                count += (ended & (after == starts)).view(np.uint8)
-                state = after
-            count += state != starts
-            np.add.at(out, owner[a : a + 4096], count.T)
+        fresh = np.concatenate(([True], owner[1:] != owner[:-1]))  # the first block of a text
+        last = np.concatenate((owner[1:] != owner[:-1], [True]))
+        carried, step = self.starts, max(64, 8192 // n_langs)
+        for a in range(0, len(owner), step):
+            count, end = self._blocks(np.ascontiguousarray(flat[a : a + step].T).astype(np.int32), fresh[a : a + step], carried)
+            count += (end != self.starts[:, None]) & last[a : a + step]  # the phrase that the text's end cuts off
+            np.add.at(out, owner[a : a + step], count.T)
+            carried = end[:, -1]
         return out
 
+    def _advance(self, state, c, starts, offset):
+        """The states after one byte class each, and the phrases that end: the one before where the byte doesn't go on,
+        and a byte that no sample has, as a phrase of its own."""
+        new = self.table.take(state * self.width + c)
+        ended = new < 0
+        after = np.where(ended, self.roots.ravel().take(offset + c), new)
+        return after, (ended & (state != starts)).view(np.uint8) + (ended & (after == starts)).view(np.uint8)
+
+    def _blocks(self, part: np.ndarray, fresh: np.ndarray, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each block, and the state at its end, by language and block. ``part``: byte classes by
+        place and block; ``fresh``: blocks that begin a text; ``carried``: states at the end of the block before."""
+        size, m = part.shape
+        starts, offset = self.starts[:, None], np.arange(len(self.langs))[:, None] * self.width
+        states, counts = np.empty((size, len(self.langs), m), np.int32), np.empty((size, len(self.langs), m), np.int32)
+        state, count = np.repeat(starts, m, axis=1), np.zeros((len(self.langs), m), np.int32)
+        for t in range(size):
+            state, ended = self._advance(state, part[t], starts, offset)
+            count = count + ended
+            states[t], counts[t] = state, count
+        total, end = counts[-1].astype(np.int64), states[-1].copy()
+        lang, block = (x.ravel() for x in np.meshgrid(np.arange(len(self.langs)), np.flatnonzero(~fresh), indexing="ij"))
+        while len(block):
+            enter = np.where(block > 0, end[lang, block - 1], carried[lang])
+            l, b, s, c = lang, block, enter, np.zeros(len(block), np.int64)
+            changed = []
+            for t in range(size):
+                s, ended = self._advance(s, part[t, b], self.starts[l], l * self.width)
+                c = c + ended
+                met = s == states[t, l, b]
+                if met.any():  # from here on the two parses are one
+                    x, y = l[met], b[met]
+                    total[x, y] = c[met] + counts[-1, x, y] - counts[t, x, y]
+                    moved = end[x, y] != states[-1, x, y]
+                    end[x, y] = states[-1, x, y]
+                    changed.append((x[moved], y[moved]))
+                    l, b, s, c = l[~met], b[~met], s[~met], c[~met]
+                    if not len(b):
+                        break
+            total[l, b] = c
+            moved = end[l, b] != s
+            end[l, b] = s
+            changed.append((l[moved], b[moved]))
+            lang, block = (np.concatenate(x) for x in zip(*changed))
+            go_on = block + 1 < m  # what comes in there has changed
+            lang, block = lang[go_on], block[go_on] + 1
+            go_on = ~fresh[block]
+            lang, block = lang[go_on], block[go_on]
+        return total, end
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         import regex
 
@@ -152,29 +191,27 @@ class CrossParser:
 
 
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", settings: Settings = Settings()) -> CrossParser:
-    """Learns from at most ``settings.sample_bytes`` of text a language, of rows that are not held out, by the order of
-    a hash of the id. Rows with a null language, text or id are not learnt from."""
-    rows = df.filter(learnable(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.col(lang_col) != "") & (F.length(text_col) > 0))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.expr(f"left(`{text_col}`, {max(1, 4 * settings.sample_bytes // settings.sample_texts)})").alias("text"))
+    """Learns from at most ``settings.sample_bytes`` of text a language, of rows that are not held out: whole texts by
+    the order of a hash of the id, until the bound is reached. Rows with a null language, text or id are not learnt
+    from; an empty language is one like others."""
+    rows = df.filter(learnable(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    # texts that would be most of a sample by themselves come last; none gives more than the sample's bound
+    large = F.octet_length(text_col) > settings.sample_bytes // 4
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), large.alias("large"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.left(F.col(text_col), F.lit(settings.sample_bytes)).alias("text"))
     # the rank keeps a few rows a task and language before anything is shuffled
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))
-    found = rows.withColumn("nth", nth).filter(F.col("nth") <= settings.sample_texts).drop("nth").toPandas()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("large", "h", "id", "text"))
+    found = rows.withColumn("nth", nth).filter(F.col("nth") <= settings.sample_texts).orderBy("lang", "nth").toPandas()
     samples: dict[str, bytes] = {}
-    langs = sorted(found["lang"].unique()) if len(found) else []
-    for lang in langs:
-        most = min(settings.sample_bytes, settings.total_bytes // len(langs))
-        own = found[found["lang"] == lang].sort_values(["h", "id", "text"])["text"].tolist()
-        folded, sample = [fold(x).tobytes() for x in own], b""
-        for part in (most // len(own), most):  # an equal part of each first, then what else there is
-            for x in folded:
-                sample += (x[:part] if part < most else x[most // len(own) :])[: max(0, most - len(sample) - 1)] + b" " if len(sample) < most - 1 else b""
-        samples[lang] = sample
+    for lang, text in zip(found["lang"], found["text"]):
+        sample = samples.get(lang, b"")
+        if len(sample) < settings.sample_bytes:
+            samples[lang] = (sample + fold(text).tobytes() + b" ")[: settings.sample_bytes]
     return CrossParser(samples, settings)
 
 
 def language_column(text: Column, parser: CrossParser, spark) -> Column:
     """A struct of ``lang_pred`` and ``score`` of a text column."""
-    shared = spark.sparkContext.broadcast(parser)  # bounded by settings.total_bytes
+    shared = spark.sparkContext.broadcast(parser)  # bounded by settings.sample_bytes a language
 
     def apply(texts: pd.Series) -> pd.DataFrame:
         lang, score = shared.value.predict(texts.tolist())
