@@ -181,8 +181,8 @@ def pack(df: DataFrame, settings: Settings, text_col: str = "text", id_col: str
     """One row per piece: the id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id`` (from 0,
     without gaps), ``offset``. Sequences have ``settings.capacity`` tokens, the unused ones are padding.
 
-    Defined cases: null and empty texts have the end id alone; rows with the same id are packed each for itself; an
-    empty table gives an empty table; a null id stays null.
+    Defined cases: null and empty texts have the end id alone; rows with the same id are packed each for itself, and
+    equal rows fall into different workers' shares; an empty table gives an empty table; a null id stays null.
     """
     cut = shared_checkpoint(pieces(df, settings, text_col, id_col))  # texts are tokenized once
     shares = max(1, -(-cut.count() // SHARE))
@@ -193,7 +193,8 @@ def pack(df: DataFrame, settings: Settings, text_col: str = "text", id_col: str
         sequence, offset = fill(share["length"].to_numpy(np.int64), settings.capacity)
         return share.assign(sequence=sequence, offset=offset)[["doc", "start", "length", "crc", "total", "share", "sequence", "offset"]]
 
-    dealt = cut.withColumn("share", F.pmod(F.xxhash64("doc", "start", "crc"), F.lit(shares)))
+    # equal pieces of repeated rows part by their places in the checkpoint, which fixes these
+    dealt = cut.withColumn("share", F.pmod(F.xxhash64("doc", "start", "crc", F.monotonically_increasing_id()), F.lit(shares)))
     packed = shared_checkpoint(dealt.groupBy("share").applyInPandas(apply, f"doc {kind}, start long, length long, crc long, total long, share long, sequence long, offset long"))
     used = packed.groupBy("share").agg((F.max("sequence") + 1).alias("used"))
     first = used.select("share", (F.sum("used").over(Window.orderBy("share")) - F.col("used")).alias("first"))  # a row for SHARE pieces
