@@ -131,7 +131,8 @@ def _sharding_sql() -> str:
 
 def _mixing_sql() -> str:
     """The exponent that just keeps to the limit has a closed form, which stands in for the bisection."""
-    limit, n = source_mixing.Target().repetition_limit, source_mixing.Target().blocks
+    limit, least = source_mixing.Target().repetition_limit, source_mixing.Target().blocks
+    n = f"(SELECT {least} * (1 << least(15, greatest(0, ceil(log2(greatest(1, count(*)) / {least * source_mixing.BLOCK_ROWS}::DOUBLE))))::INT) FROM documents)"
     return f"""
     WITH d AS (SELECT doc_id, source, coalesce('+' || source, '-') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) + 1 AS tokens, md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')) AS h FROM documents),
     k AS (SELECT *, ('0x' || substring(h, 1, 6))::BIGINT % {n} AS block FROM d),

@@ -5,8 +5,9 @@ normalised. The exponent is bisected until the weights meet a target entropy or
 token budgets, and each source fills its budget with passes over its blocks of documents: whole passes first, then a
 last pass over the blocks in a permuted order, cut at the document that would exceed the budget.
 
-Blocks are hash buckets of the documents, at most ``blocks`` a source, so all that is gathered about a source has that
-many rows; documents themselves never move.
+Blocks are hash buckets of the documents, so many a source that a block has about ``BLOCK_ROWS`` documents of the largest
+source at most; all that is gathered about a source has a row for each block, and only the documents of the blocks in
+which budgets end are ranked. Documents themselves never move.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import WORD_PATTERN, shared_checkpoint
 
 #: Totals of at most so many sources are bisected on the driver; of more, by aggregations in Spark.
 SOURCES_ON_DRIVER = 65_536
+#: Documents that a block aims at, of a table that is one source.
+BLOCK_ROWS = 50_000
 #: A table of at most so many blocks is broadcast; a larger one is joined by a shuffle.
 BLOCKS_BROADCAST = 100_000
 
@@ -30,7 +33,8 @@ BLOCKS_BROADCAST = 100_000
 class Target:
     """``repetition_limit``: no source may be passed over more often than so many times as often as the source that
     is passed over least; or ``entropy`` (nats) that the weights must reach, which then decides alone. ``budget``:
-    tokens of the mixture; None: as many as it takes for every document to be in it at least once."""
+    tokens of the mixture; None: as many as it takes for every document to be in it at least once. ``blocks``: the
+    least number of blocks; larger tables have more, always a power of two times it."""
 
     repetition_limit: float = 2.0
     entropy: float | None = None
@@ -45,7 +49,7 @@ def tokens_column(text: Column) -> Column:
 
 
 def bisect_exponent(measure, target: Target) -> float:
-    """The largest exponent that meets the target. ``measure(e)``: entropy of the weights and the ratio of the largest
+    """The largest exponent that meets an entropy, or the smallest that keeps to a repetition limit. ``measure(e)``: entropy of the weights and the ratio of the largest
     to the smallest number of passes; the former falls with the exponent, the latter too. If no exponent meets an
     entropy, 0."""
 
@@ -70,6 +74,14 @@ def bisect_exponent(measure, target: Target) -> float:
     return low
 
 
+def block_count(rows: int, target: Target) -> int:
+    """The number of blocks for a table of so many rows; a block's number is read from 24 bits."""
+    n = target.blocks
+    while n * BLOCK_ROWS < rows and n < 1 << 23:
+        n *= 2
+    return n
+
+
 def solve(totals: DataFrame, target: Target) -> tuple[float, float, int]:
     """Exponent, sum of the powers, and budget. ``totals``: src, total (positive)."""
     n = totals.count()
@@ -110,7 +122,7 @@ def mix_sources(df: DataFrame, source_col: str = "source", text_col: str = "text
     src = F.when(F.col(f"`{source_col}`").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(f"`{source_col}`").cast("string")))
     row = F.struct(*own).alias("row") if own else F.struct(F.lit(None))
     keyed = df.select(row, src.alias("src"), tokens_column(F.col(f"`{text_col}`")).alias("tokens"), F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("h"))
-    keyed = keyed.withColumn("block", (F.conv(F.substring("h", 1, 6), 16, 10).cast("int") % target.blocks))
+    keyed = keyed.withColumn("block", (F.conv(F.substring("h", 1, 6), 16, 10).cast("int") % block_count(df.count(), target)))
     blocks = shared_checkpoint(keyed.groupBy("src", "block").agg(F.sum("tokens").alias("size")))
     totals = shared_checkpoint(blocks.groupBy("src").agg(F.sum("size").alias("total")))
     exponent, powers, budget = solve(totals, target)
