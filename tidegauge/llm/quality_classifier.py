@@ -102,11 +102,12 @@ class Model:
 
 def train(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", settings: Settings = Settings()) -> Model:
     """Learns from at most ``settings.train_texts`` labelled rows that are not held out. Null labels and ids are not
-    learnt from; an id labelled twice counts with its highest label. Without labels every score is 0.5."""
+    learnt from; an id labelled twice counts with its highest label, one with several texts with the least. Without labels every score is 0.5."""
     known = labels.filter(learnable(F.col(id_col)) & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(settings.train_texts)  # a top-k: few rows reach the driver
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))  # one text an id, so the bound holds
 
     def apply(texts: pd.Series) -> pd.DataFrame:
         words, out = _Words(), []
