@@ -15,7 +15,7 @@ from tidegauge.llm import common, html_extraction, language_id, merkle, packing,
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 TOKENIZER = packing.Settings(queries.tokenizer_path())
-CLASHING = ["score", "fp", "key", "h", "shard", "bucket", "size", "row", "block", "src", "tokens", "doc", "start", "crc", "pos", "r", "nth", "lang_pred", "root", "weight"]
+CLASHING = ["score", "fp", "key", "h", "shard", "bucket", "size", "row", "block", "src", "tokens", "doc", "start", "crc", "pos", "r", "nth", "lang_pred", "root", "weight", "__id", "__nth", "__row", "__text", "id", "order", "name", "salt", "component_id", "long_fp", "share", "__h", "__c", "__at", "copy", "block_ratio", "label", "large", "mix_pass", "slot", "size_"]
 
 
 @pytest.fixture(scope="module")
@@ -288,6 +288,26 @@ def test_dense_groups_lose_no_link(spark, most):
     assert [root.get(x, x) for x in signed] == want
 
 
+def test_names_without_a_broadcast(spark, docs, plain, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "NAMES_BROADCAST", 0)
+    fps = [slow_fingerprint(t) for t in plain["text"]]
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs).collect()}
+    assert got == dict(zip(plain["doc_id"], slow_components(fps, plain["doc_id"].tolist())))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Session)
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(1000, 999)], "fp long, root long")
     got = {r["fp"]: r["root"] for r in simhash_dedup.connected_components(e).collect()}
@@ -395,7 +415,7 @@ def test_ordinary_runs_are_left_alone(plain):
     assert not any(map(find, ordinary))
     # words of the table without their blanks, as long as keys and longer
     rng = np.random.default_rng(3)
-    every = [w for t in plain["text"].dropna() for w in re.findall(r"[A-Za-z]+", t)]
+    every = np.array([w for t in plain["text"].dropna() for w in re.findall(r"[A-Za-z]+", t)][:20_000])
     for glue in ("", "_", "-", "/"):
         runs = [glue.join(rng.choice(every, 6)) for _ in range(500)]
         assert sum(bool(find(f"see {x} there")) for x in runs if len(x) >= 20) <= 10
@@ -490,6 +510,67 @@ def test_no_held_out_label_is_learnt(spark, docs):
     assert {r["score"] for r in quality_classifier.classify_quality(docs, labels).collect()} == {0.5}
 
 
+class PlainLeader:
+    """FTRL-proximal as published, coordinate by coordinate, over a dictionary of places."""
+
+    def __init__(self, s):
+        self.s, self.z, self.n, self.b = s, {}, {}, [0.0, 0.0]
+
+    def weight(self, i):
+        z, n = self.z.get(i, 0.0), self.n.get(i, 0.0)
+        return 0.0 if abs(z) <= self.s.l1 else -(z - math.copysign(self.s.l1, z)) / ((self.s.beta + math.sqrt(n)) / self.s.alpha + self.s.l2)
+
+    def intercept(self):
+        return -self.b[0] * self.s.alpha / (self.s.beta + math.sqrt(self.b[1]))
+
+    def predict(self, x):
+        return 1 / (1 + math.exp(-(sum(self.weight(i) * v for i, v in x.items()) + self.intercept())))
+
+    def learn(self, x, y):
+        error, weights, bias = self.predict(x) - y, {i: self.weight(i) for i in x}, self.intercept()
+        for i, v in x.items():
+            g, n = error * v, self.n.get(i, 0.0)
+            self.z[i] = self.z.get(i, 0.0) + g - (math.sqrt(n + g * g) - math.sqrt(n)) / self.s.alpha * weights[i]
+            self.n[i] = n + g * g
+        self.b = [self.b[0] + error - (math.sqrt(self.b[1] + error**2) - math.sqrt(self.b[1])) / self.s.alpha * bias, self.b[1] + error**2]
+
+
+def slow_features(text, bits):
+    import xxhash
+
+    tokens = [t for w in words(text) for t in re.findall(r"[^\W_]+|[\W_]", w)]
+    h, mask = [xxhash.xxh32_intdigest(t) for t in tokens], (1 << 32) - 1
+    places = Counter(x & (1 << bits) - 1 for x in h)
+    for a, b in zip(h, h[1:]):
+        places[1 if a == b else ((a * 0x9E3779B1 + (b ^ b >> 15) * 0x85EBCA77) & mask) >> 32 - bits] += 1
+    size = math.sqrt(sum(v * v for v in places.values()))
+    return {i: v / size for i, v in places.items()}
+
+
+def test_classifier_against_plain_version(spark, docs, plain, data):
+    settings = quality_classifier.Settings()
+    labels = pd.read_parquet(f"{data}/labels.parquet").dropna(subset=["quality"])
+    known = labels[labels["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4 != 2)].groupby("doc_id")["quality"].max()
+    text = plain.set_index("doc_id")["text"]
+    order = spark.createDataFrame([(int(i),) for i in known.index], "id long").select("id", F.xxhash64("id").alias("h")).collect()
+    hashed = spark.createDataFrame([(r["id"], text[r["id"]]) for r in order], "id long, text string").select("id", F.xxhash64("id", "text").alias("h")).collect()
+    model = PlainLeader(settings)
+    for _ in range(settings.epochs):
+        for r in sorted(hashed, key=lambda r: (r["h"], r["id"])):
+            model.learn({i: float(np.float32(v)) for i, v in slow_features(text[r["id"]], settings.bits).items()}, int(known[r["id"]] > 0))
+    got = quality_classifier.classify_quality(docs, spark.read.parquet(f"{data}/labels.parquet")).toPandas().set_index("doc_id")["score"]
+    for i in text.index[:60]:
+        assert got[i] == pytest.approx(model.predict(slow_features(text[i], settings.bits)), abs=1e-4)
+
+
+def test_repeated_ids_keep_to_the_bound(spark):
+    df = spark.createDataFrame([(i % 8, f"text number {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    once = df.groupBy("doc_id").agg(F.min("text").alias("text"))
+    a, b = (quality_classifier.train(x, labels) for x in (df, once))
+    assert np.array_equal(a.weights, b.weights) and a.intercept == b.intercept
+
+
 def test_ftrl_weights_are_sparse():
     m = quality_classifier.FollowTheRegularisedLeader(quality_classifier.Settings(bits=8))
     for i in range(400):
@@ -516,6 +597,17 @@ def test_mixture_meets_its_targets(docs):
     assert not blocks.duplicated(["source", "mix_pass", "mix_rank"]).any()
 
 
+def test_blocks_follow_the_table():
+    t = source_mixing.Target()
+    assert [source_mixing.block_count(n, t) for n in (0, 256 * 50_000, 256 * 50_000 + 1, 10**9, 10**15)] == [256, 256, 512, 32768, 1 << 23]
+
+
+def test_mixture_with_small_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(source_mixing, "BLOCK_ROWS", 0.2)
+    got = source_mixing.mix_sources(docs).toPandas()
+    assert set(got["doc_id"]) == {r["doc_id"] for r in docs.select("doc_id").collect()} and got["mix_block"].max() > 256
+
+
 def test_exponent_for_an_entropy():
     t = np.array([1000.0, 100.0, 10.0])
 
@@ -833,6 +925,16 @@ def test_packing_round_trip(docs, plain):
     assert 1 - got["length"].sum() / (2048 * got["sequence_id"].nunique()) < 0.03
 
 
+def test_equal_rows_are_dealt_over_many_shares(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARE", 50)
+    df = spark.createDataFrame([(None, "the same text")] * 600, "doc_id long, text string").repartition(4)
+    got = packing.pack(df, TOKENIZER).toPandas()
+    assert len(got) == 600
+    assert sorted(set(got["sequence_id"])) == list(range(got["sequence_id"].max() + 1))
+    cut = packing.pieces(df, TOKENIZER).withColumn("n", F.pmod(F.xxhash64("doc", "start", "crc", F.monotonically_increasing_id()), F.lit(12)))
+    assert max(r["count"] for r in cut.groupBy("n").count().collect()) < 100
+
+
 def test_cuts_are_whole():
     for n in [*range(1, 5000, 7), 2047, 2048, 2049, 4096]:
         c = packing.cuts(n, TOKENIZER)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_checkpoint, shuffle_partitions
+from .common import SharedTable, shared_checkpoint, shuffle_partitions
 
 SHINGLE_WORDS = 4
 BUDGET = 4
@@ -40,8 +40,10 @@ MOST_IN_TASK = 4096
 MOST_BROADCAST = 10_000
 #: Fingerprints below a trie's node that agree by chance.
 BY_CHANCE = 512
-#: Rows that a partition of long fingerprints aims at.
+#: Rows that a partition of fingerprints aims at; a task holds one in memory.
 ROWS_IN_PARTITION = 400_000
+#: Names of at most so many components are broadcast; more are joined by a shuffle, dealt over so many salts.
+NAMES_BROADCAST, SALTS = 200_000, 32
 #: Characters of texts whose sets a task compares at once; larger groups are cut into pairs of chunks.
 CHARACTERS_IN_TASK = 1 << 24
 
@@ -308,7 +310,8 @@ def forest(fps: DataFrame, budget: int = BUDGET, most: int = MOST_IN_TASK) -> Da
         yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(root[out])], names=["fp", "root"])
 
     tasks = fitting.unionByName(fitting2).unionByName(chunked)
-    return tasks.repartition(shuffle_partitions(spark), "task").mapInArrow(join, "fp long, root long")
+    parts = max(shuffle_partitions(spark), -(-fps.count() * (budget + 1) // ROWS_IN_PARTITION))
+    return tasks.repartition(parts, "task").mapInArrow(join, "fp long, root long")
 
 
 def similar_forest(fps: DataFrame, n: int, similarity: Similarity, most: int = MOST_IN_TASK) -> DataFrame:
@@ -357,22 +360,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star rounds until nothing changes. Each round joins on keys, so it runs on any
     number of machines; a node with very many edges is dealt anew by the adaptive skew join.
     """
-    edges = shared_checkpoint(edges.filter("fp <> root").distinct())
+    now = SharedTable(edges.filter("fp <> root").distinct())
     sign = F.expr("struct(count(*) AS n, bit_xor(xxhash64(fp, root)) AS h)")
-    before = edges.agg(sign.alias("s")).first()["s"]
+    before = now.df.agg(sign.alias("s")).first()["s"]
     while before["n"]:
-        both = edges.unionByName(edges.select(F.col("root").alias("fp"), F.col("fp").alias("root")))
+        both = now.df.unionByName(now.df.select(F.col("root").alias("fp"), F.col("fp").alias("root")))
         low = both.groupBy("fp").agg(F.min("root").alias("low")).withColumn("low", F.least("fp", "low"))
         large = both.join(low, "fp").filter("root > fp").select(F.col("root").alias("fp"), F.col("low").alias("root")).filter("fp <> root").distinct()
         low = large.groupBy("fp").agg(F.min("root").alias("low"))
         small = large.join(low, "fp")
         small = small.select(F.col("root").alias("fp"), F.col("low").alias("root")).unionByName(low.select("fp", F.col("low").alias("root")))
-        edges = shared_checkpoint(small.filter("fp <> root").distinct())
-        after = edges.agg(sign.alias("s")).first()["s"]
+        old, now = now, SharedTable(small.filter("fp <> root").distinct())
+        old.delete()
+        after = now.df.agg(sign.alias("s")).first()["s"]
         if after == before:
             break
         before = after
-    return edges
+    return now.df
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle_words: int = SHINGLE_WORDS, budget: int = BUDGET) -> DataFrame:
@@ -462,18 +466,30 @@ def similar_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 
 def _named(fps: DataFrame, links: DataFrame) -> DataFrame:
-    """(fp, component_id) from (fp, low) and forests of links."""
+    """(fp, component_id) from (fp, low) and forests of links. A component may have any number of members: its name is
+    aggregated before it is shuffled, and members get it by a broadcast of a counted table or over many salts."""
     roots = connected_components(links)
-    member = shared_checkpoint(fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"))
-    names = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    return member.join(names, "root").select("fp", "component_id")
+    member = shared_checkpoint(fps.join(roots, "fp", "left").select("fp", "low", "root"))
+    # a component's smallest fp has no root of its own
+    names = member.filter("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("least"))
+    names = shared_checkpoint(names.join(member.filter("root IS NULL").select(F.col("fp").alias("root"), "low"), "root").select("root", F.least("least", "low").alias("component_id")))
+    keyed = member.select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    if names.count() <= NAMES_BROADCAST:
+        joined = keyed.join(F.broadcast(names), "root", "left")
+    else:
+        salted = names.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+        joined = keyed.withColumn("salt", F.expr(f"CAST(pmod(xxhash64(fp), {SALTS}) AS INT)")).join(salted, ["root", "salt"], "left")
+    return joined.select("fp", F.coalesce("component_id", "low").alias("component_id"))
 
 
 def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", find=near_duplicates, **options) -> DataFrame:
     """The rows of ``df`` whose id names their component under ``find``; of rows with the same id one, the first by all columns.
-    Rows with a null id stay only where their component has no id at all, one for each different text."""
-    found = find(df, text_col, id_col, **options)
-    names = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    kept = df.join(names, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    order = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).orderBy(*[F.col(f"`{c}`") for c in df.columns if c != id_col and dict(df.dtypes)[c].split("<")[0] != "map"])
-    return kept.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").select(*[f"`{c}`" for c in df.columns])
+    Rows with a null id stay only where their component has no id at all, one for each different text. Columns of
+    ``df`` may have any names."""
+    found = find(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", "id", **options)
+    names = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("name")).distinct()
+    sorted_by = [f"`{c}`" for c, kind in df.dtypes if c != id_col and "map<" not in kind and kind != "variant"]
+    rows = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.when(F.col(f"`{id_col}`").isNull(), F.xxhash64(F.col(f"`{text_col}`"))).alias("text"), F.struct(*sorted_by).alias("order"))
+    kept = rows.join(names, F.col("id").eqNullSafe(F.col("name")), "left_semi")
+    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("id", "text").orderBy("order"))).filter("nth = 1")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
