@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 PIECE, EACH = 32, 4
 #: Rows that a bucket of the order of ids aims at; buckets of the first and of the second level at most.
 BUCKET_ROWS, COARSE, FINE = 2000, 256, 1024
+#: The line feeds between sections and paragraphs, as leaves of a sequence.
+SECTION, PARAGRAPH = "section:2", "paragraph:1"
 
 
 def piece_start(i: str, power=lambda n, k: f"shiftleft({n}, {k})", half=lambda x: f"CAST({x} DIV {EACH} AS INT)") -> str:
@@ -45,17 +47,18 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     return out.withColumn(name, F.expr(f"concat(left(sha2(array_join(transform({t}, s -> s.d), ''), 256), 32), ':', array_join(transform({t}, s -> concat(left(s.d, 8), '=', s.s)), '/'))")).drop(t)
 
 
-def _pieces(paragraph: str) -> str:
-    """SQL for the leaves of a paragraph of a fingerprint: digest ``t``, length ``w`` and place ``i``."""
-    n = f"CAST(split({paragraph}, ',')[1] AS INT)"
-    return f"transform(filter(split(split({paragraph}, ',')[2], '[.]'), y -> y <> ''), (y, i) -> struct(y AS t, CAST(least(shiftleft({PIECE}, CAST(i DIV {EACH} AS INT)), {n} - {piece_start('i')}) AS INT) AS w))"
+def _pieces(paragraph: str, each: str) -> str:
+    """SQL for ``each`` of a paragraph of a fingerprint's leaves: of digest ``y``, number ``i`` and length ``{w}``."""
+    width = f"CAST(least(shiftleft({PIECE}, CAST(i DIV {EACH} AS INT)), v.n - {piece_start('i')}) AS INT)"
+    parsed = f"array(struct(CAST(element_at(split({paragraph}, ','), 2) AS INT) AS n, split(element_at(split({paragraph}, ','), 3), '[.]') AS x))"
+    return f"flatten(transform({parsed}, v -> transform(filter(v.x, y -> v.n > 0), (y, i) -> {each.format(w=width)})))"
 
 
 def _sequence(fingerprint: str) -> str:
-    """SQL for the leaves in order, with the line feeds between them as leaves of their own."""
-    mark = lambda name, width, at: f"filter(array(struct('{name}' AS t, {width} AS w)), z -> {at} > 0)"
-    paragraphs = f"flatten(transform(split(substring(s, 10), ';'), (p, b) -> concat({mark('paragraph', 1, 'b')}, {_pieces('p')})))"
-    return f"flatten(transform(split(substring({fingerprint}, 34), '/'), (s, a) -> concat({mark('section', 2, 'a')}, {paragraphs})))"
+    """SQL for the leaves in order, ``digest:length``, with the line feeds between them as leaves of their own."""
+    mark = lambda leaf, at: f"filter(array('{leaf}'), z -> {at} > 0)"
+    paragraphs = f"flatten(transform(split(substring(s, 10), ';'), (p, b) -> concat({mark(PARAGRAPH, 'b')}, {_pieces('p', "concat(y, ':', {w})")})))"
+    return f"flatten(transform(split(substring({fingerprint}, 34), '/'), (s, a) -> concat({mark(SECTION, 'a')}, {paragraphs})))"
 
 
 def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
@@ -63,16 +66,23 @@ def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
 
     Every leaf counts once by itself and once together with the leaf before it, so half of the likeness is what the
     texts hold and half the order they hold it in; each counts as often as it occurs, by its length."""
-    x, y = f"__seq_a_{name}", f"__seq_b_{name}"
-    counted = lambda c, side: f"concat(transform({c}, z -> struct(z.t AS t, z.w AS w, {side} AS side)), transform({c}, (z, i) -> struct(concat(CASE WHEN i = 0 THEN '' ELSE {c}[i - 1].t END, '>', z.t) AS t, z.w AS w, {side} AS side)))"
-    start = "named_struct('t', '', 'w', 0, 'a', 0L, 'b', 0L, 'common', 0L, 'total', 0L)"
-    step = """CASE WHEN s.t = z.t AND s.w = z.w THEN named_struct('t', s.t, 'w', s.w, 'a', s.a + 1 - z.side, 'b', s.b + z.side, 'common', s.common, 'total', s.total + z.w)
-        ELSE named_struct('t', z.t, 'w', z.w, 'a', CAST(1 - z.side AS BIGINT), 'b', CAST(z.side AS BIGINT), 'common', s.common + least(s.a, s.b) * s.w, 'total', s.total + z.w) END"""
-    end = "named_struct('common', s.common + least(s.a, s.b) * s.w, 'total', s.total)"
+    x, y, u, v, total, marks = (f"__{k}_{name}" for k in ("x", "y", "u", "v", "total", "marks"))
+    width = lambda z: f"CAST(substring_index({z}, ':', -1) AS BIGINT)"
+    number = lambda c, leaf: f"size(filter({c}, z -> z = '{leaf}'))"
+    own = lambda c: f"concat(filter({c}, z -> z NOT IN ('{SECTION}', '{PARAGRAPH}')), transform({c}, (z, i) -> concat(CASE WHEN i = 0 THEN '' ELSE {c}[i - 1] END, '>', z)))"
+    once = lambda c: f"size(array_distinct({c})) = size({c})"
     out = df.withColumn(x, F.expr(_sequence(a))).withColumn(y, F.expr(_sequence(b)))
-    out = out.withColumn(x, F.expr(f"CASE WHEN left({a}, 32) = left({b}, 32) THEN NULL ELSE aggregate(array_sort(concat({counted(x, 0)}, {counted(y, 1)})), {start}, (s, z) -> {step}, s -> {end}) END"))
-    value = f"CASE WHEN {x} IS NULL THEN 1.0D ELSE least(CAST(2 * {x}.common AS DOUBLE) / {x}.total, 1.0D - 1.0D / {x}.total) END"
-    return out.withColumn(name, F.expr(value)).drop(x, y)
+    out = out.withColumn(total, F.expr(f"2 * (aggregate({x}, 0L, (s, z) -> s + {width('z')}) + aggregate({y}, 0L, (s, z) -> s + {width('z')}))"))
+    out = out.withColumn(marks, F.expr(f"2 * least({number(x, SECTION)}, {number(y, SECTION)}) + least({number(x, PARAGRAPH)}, {number(y, PARAGRAPH)})"))
+    out = out.withColumn(u, F.expr(own(x))).withColumn(v, F.expr(own(y)))
+    # where nothing occurs twice, what both have is a set; else all is counted in sorted order
+    tagged = f"array_sort(concat(transform({u}, z -> struct(z AS t, 0 AS side)), transform({v}, z -> struct(z AS t, 1 AS side))))"
+    start = "named_struct('t', '', 'a', 0, 'b', 0, 'common', 0L)"
+    closed = f"s.common + CASE WHEN s.a > 0 AND s.b > 0 THEN least(s.a, s.b) * {width('s.t')} ELSE 0L END"
+    step = f"CASE WHEN s.t = z.t THEN named_struct('t', s.t, 'a', s.a + 1 - z.side, 'b', s.b + z.side, 'common', s.common) ELSE named_struct('t', z.t, 'a', 1 - z.side, 'b', z.side, 'common', {closed}) END"
+    common = f"CASE WHEN {once(u)} AND {once(v)} THEN aggregate(array_intersect({u}, {v}), 0L, (s, z) -> s + {width('z')}) ELSE aggregate({tagged}, {start}, (s, z) -> {step}, s -> {closed}) END"
+    value = f"CASE WHEN left({a}, 32) = left({b}, 32) THEN 1.0D ELSE least(CAST(2 * ({marks} + {common}) AS DOUBLE) / {total}, 1.0D - 1.0D / {total}) END"
+    return out.withColumn(name, F.expr(value)).drop(x, y, u, v, total, marks)
 
 
 def differing(a: str, b: str) -> Column:
@@ -86,10 +96,10 @@ def differing(a: str, b: str) -> Column:
     lacking = lambda c, o: f"filter({sections(c)}, s -> NOT array_contains(transform({sections(o)}, z -> left(z, 8)), left(s, 8)))"
     paragraphs = f"flatten(transform({lacking(b, a)}, s -> split(substring(s, 10), ';')))"
     own = f"flatten(transform({lacking(a, b)}, s -> transform(split(substring(s, 10), ';'), p -> left(p, 8))))"
-    leaves = f"flatten(transform(filter({paragraphs}, p -> NOT array_contains({own}, left(p, 8))), p -> transform({_pieces('p')}, z -> z.t)))"
+    leaves = f"flatten(transform(filter({paragraphs}, p -> NOT array_contains({own}, left(p, 8))), p -> {_pieces('p', 'y')}))"
     entered = f"filter(transform({sections(a)}, (s, k) -> struct(k AS k, s AS s)), x -> NOT array_contains(transform({sections(b)}, z -> left(z, 8)), left(x.s, 8)))"
     below = f"filter(transform(split(substring(x.s, 10), ';'), (p, m) -> struct(m AS m, p AS p)), q -> NOT array_contains(transform({paragraphs}, z -> left(z, 8)), left(q.p, 8)))"
-    pieces = f"transform({_pieces('q.p')}, (z, i) -> struct(z.t AS t, struct(x.k AS section, q.m AS paragraph, CAST({piece_start('i')} AS INT) AS start, z.w AS length) AS place))"
+    pieces = _pieces("q.p", f"struct(y AS t, struct(x.k AS section, q.m AS paragraph, CAST({piece_start('i')} AS INT) AS start, {{w}} AS length) AS place)")
     empty = "CASE WHEN split(q.p, ',')[1] = '0' THEN array(struct(x.k AS section, q.m AS paragraph, 0 AS start, 0 AS length)) END"
     found = f"coalesce({empty}, transform(filter({pieces}, z -> NOT array_contains({leaves}, z.t)), z -> z.place))"
     return F.expr(f"flatten(transform({entered}, x -> flatten(transform({below}, q -> {found}))))")
