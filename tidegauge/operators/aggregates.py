@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
 from .rolling import average_rank, ratio
 
 YEAR = 252.0
@@ -111,26 +112,31 @@ def wide_predictions(df: DataFrame, keys: list[str], model: str = "model_id", va
     return df.groupBy(*keys).pivot(model, models).agg(F.avg(value))
 
 
+def _pairs(df: DataFrame, keys: list[str], model: str, values: list[str]) -> DataFrame:
+    """For each pair of models (``model_a`` before ``model_b``) that share keys, their values as ``<v>_a`` and ``<v>_b``.
+    A key's models, not its rows, are paired, in the one row that they are gathered into."""
+    rows = df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(model).alias("m"), *[F.col(v).alias(v) for v in values])).alias("__r"))
+    of = lambda x, y: F.struct(x["m"].alias("model_a"), y["m"].alias("model_b"), *[z[v].alias(f"{v}_{s}") for z, s in ((x, "a"), (y, "b")) for v in values])
+    pairs = F.flatten(F.transform("__r", lambda x: F.transform(F.filter("__r", lambda y: x["m"] < y["m"]), lambda y: of(x, y))))
+    return rows.select(*keys, F.explode(pairs).alias("__p")).select(*keys, "__p.*")
+
+
 def model_pairs(df: DataFrame, keys: list[str], model: str = "model_id", value: str = "prediction") -> DataFrame:
-    """n and correlations of each pair of models over shared keys. Models, not rows, are paired: the join is on keys."""
-    a, b = (df.select(*keys, F.col(model).alias(m), F.col(value).alias(v)) for m, v in (("model_a", "a"), ("model_b", "b")))
-    both = a.join(b, keys).filter("model_a < model_b")
-    return both.groupBy("model_a", "model_b").agg(F.count("*").alias("n"), guarded_corr("a", "b").alias("corr"))
+    """n and correlations of each pair of models over shared keys."""
+    return _pairs(df, keys, model, [value]).groupBy("model_a", "model_b").agg(F.count("*").alias("n"), guarded_corr(f"{value}_a", f"{value}_b").alias("corr"))
 
 
 def top_k_overlap(df: DataFrame, k: int, date: str = "date", instrument: str = "instrument", model: str = "model_id", value: str = "prediction") -> DataFrame:
     """Mean over dates of the Jaccard likeness of two models' top-k instruments."""
     w = Window.partitionBy(model, date).orderBy(F.desc(value), instrument)
     top = df.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k).groupBy(date, model).agg(F.collect_set(instrument).alias("s"))
-    a, b = (top.select(date, F.col(model).alias(m), F.col("s").alias(s)) for m, s in (("model_a", "sa"), ("model_b", "sb")))
-    both = a.join(b, date).filter("model_a < model_b")
-    return both.groupBy("model_a", "model_b").agg(F.avg(F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))).alias("overlap"))
+    return _pairs(top, [date], model, ["s"]).groupBy("model_a", "model_b").agg(F.avg(F.size(F.array_intersect("s_a", "s_b")) / F.size(F.array_union("s_a", "s_b"))).alias("overlap"))
 
 
 def pooled_rank_correlation(df: DataFrame, signal: str, target: str, keys: list[str]) -> DataFrame:
     """Spearman correlation over all rows of the keys; ranks come from counts of distinct values."""
     d = df.filter(F.col(signal).isNotNull() & F.col(target).isNotNull())
-    d = average_rank(average_rank(d, signal, keys, "__a"), target, keys, "__b")
+    d = ordering.average_ranks(ordering.average_ranks(d, signal, keys, "__a"), target, keys, "__b")
     return d.groupBy(*keys).agg(F.count("*").alias("n"), guarded_corr("__a", "__b").alias("rank_corr"))
 
 
@@ -138,11 +144,10 @@ def per_date_diversity(df: DataFrame, k: int, date: str = "date", instrument: st
     """Per date the mean over model pairs of Pearson and rank correlation and of the likeness of their top k."""
     d = average_rank(df, value, [date, model], "__r")
     w = Window.partitionBy(date, model).orderBy(F.desc(value), instrument)
-    d = d.withColumn("__t", F.when(F.row_number().over(w) <= k, F.col(instrument)))
-    a, b = (d.select(date, instrument, F.col(model).alias(f"m{i}"), F.col(value).alias(f"v{i}"), F.col("__r").alias(f"r{i}"), F.col("__t").alias(f"t{i}")) for i in (1, 2))
-    both = a.join(b, [date, instrument]).filter("m1 < m2")
-    common, any_ = F.count(F.when(F.col("t1").isNotNull() & F.col("t2").isNotNull(), 1)), F.count(F.when(F.col("t1").isNotNull() | F.col("t2").isNotNull(), 1))
-    pairs = both.groupBy(date, "m1", "m2").agg(guarded_corr("v1", "v2").alias("c"), guarded_corr("r1", "r2").alias("s"), ratio(common.cast("double"), any_.cast("double")).alias("o"))
+    d = d.withColumn("__t", F.row_number().over(w) <= k)
+    both = _pairs(d, [date, instrument], model, [value, "__r", "__t"])
+    common, any_ = F.count(F.when(F.col("__t_a") & F.col("__t_b"), 1)), F.count(F.when(F.col("__t_a") | F.col("__t_b"), 1))
+    pairs = both.groupBy(date, "model_a", "model_b").agg(guarded_corr(f"{value}_a", f"{value}_b").alias("c"), guarded_corr("__r_a", "__r_b").alias("s"), ratio(common.cast("double"), any_.cast("double")).alias("o"))
     return pairs.groupBy(date).agg(F.avg("c").alias("mean_corr"), F.avg("s").alias("mean_rank_corr"), F.avg("o").alias("mean_overlap"))
 
 
@@ -186,7 +191,9 @@ QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p9
 
 def quantile_summary(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """Exact linear quantiles, extremes and moments by keys."""
-    d = df.groupBy(*keys).agg(F.percentile(column, F.array(*[F.lit(q) for q in QUANTILES.values()])).alias("q"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.count(column).alias("n"))
+    d = df.groupBy(*keys).agg(F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.count(column).alias("n"))
+    q = ordering.exact_quantiles(df, column, keys, list(QUANTILES.values()))
+    d = d.join(q, keys, "left")
     return d.select(*keys, "n", "min", *[F.col("q")[i].alias(k) for i, k in enumerate(QUANTILES)], "max", "mean", "std")
 
 
@@ -234,19 +241,7 @@ def calmar(df: DataFrame, ret: str, order: str, keys: list[str], year: float = Y
 
 
 def pareto_front(df: DataFrame, scores: list[str], key: str) -> DataFrame:
-    """Rows that no other row dominates (at least as good in all scores, better in one). For two scores one ordered
-    pass over the distinct score pairs; for more an anti-join of distinct scores, for the small tables of a search."""
-    points = df.select(*scores).distinct()
-    if len(scores) == 2:
-        a, b = scores
-        per = points.groupBy(a).agg(F.max(b).alias(b))
-        w = Window.orderBy(F.desc(a)).rowsBetween(Window.unboundedPreceding, -1)
-        front = per.withColumn("__best", F.max(b).over(w)).filter(F.col("__best").isNull() | (F.col(b) > F.col("__best"))).drop("__best")
-    else:
-        other = points.withColumnsRenamed({s: f"__{s}" for s in scores})
-        better = [F.col(f"__{s}") >= F.col(s) for s in scores] + [sum(((F.col(f"__{s}") > F.col(s)).cast("int") for s in scores), F.lit(0)) > 0]
-        cond = better[0]
-        for x in better[1:]:
-            cond &= x
-        front = points.join(other, cond, "left_anti")
-    return df.join(front, scores, "left_semi").select(key, *scores)
+    """Rows that no other row dominates (at least as good in all scores, better in one). Rows with an unknown score are
+    left out."""
+    front = ordering.pareto(df, scores).withColumnsRenamed({s: f"__{s}" for s in scores})
+    return df.join(front, [F.col(s).cast("double") == F.col(f"__{s}") for s in scores], "left_semi").select(key, *scores)

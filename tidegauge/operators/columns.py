@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import codes
+
 #: Fixed names: cast targets and the Spark type that holds them (unsigned ones need the next wider signed type).
 NUMERIC = {"float32": "float", "float64": "double", "int16": "smallint", "int32": "int", "int64": "bigint", "uint16": "int", "uint32": "bigint", "uint64": "decimal(20,0)"}
 UNSIGNED_MAX = {"uint16": 2**16 - 1, "uint32": 2**32 - 1, "uint64": 2**64 - 1}
@@ -47,8 +49,7 @@ def promote_categorical(df: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``<c>_code``, the 0-based rank of each distinct value; null has no code. The column itself stays a string:
     dictionaries are the file format's business."""
     for c in columns:
-        codes = df.select(c).filter(F.col(c).isNotNull()).distinct().withColumn(f"{c}_code", F.row_number().over(Window.orderBy(c)) - 1)
-        df = df.join(codes, c, "left")
+        df = df.join(codes(df, c, f"{c}_code"), c, "left")
     return df
 
 

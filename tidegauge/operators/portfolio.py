@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import once
 from .rolling import ratio
 from .sequential import scan
 
@@ -32,7 +33,8 @@ def weight_path(weights: DataFrame, returns: DataFrame, calendar: DataFrame, cos
     Only a candidate's changes are stored: a position's row on the day after it was last held carries the exit, so
     the product of calendar, instruments and candidates is never built.
     """
-    days = calendar.select("date").distinct().withColumn("code", F.row_number().over(Window.orderBy("date")))
+    weights = once(weights)
+    days = once(calendar.select("date").distinct().withColumn("code", F.row_number().over(Window.orderBy("date"))))  # a row a day
     held = weights.groupBy("candidate_id", "date", "instrument").agg(F.avg("target_weight").alias("w")).join(days, "date")
     one = Window.partitionBy("candidate_id", "instrument").orderBy("code")
     held = held.withColumn("pw", F.when(F.lag("code").over(one) == F.col("code") - 1, F.lag("w").over(one)).otherwise(0.0)).withColumn("next", F.lead("code").over(one))
@@ -40,8 +42,9 @@ def weight_path(weights: DataFrame, returns: DataFrame, calendar: DataFrame, cos
     entered = held.select("candidate_id", "code", (F.col("w") * F.coalesce("forward_return", F.lit(0.0))).alias("g"), F.abs(F.col("w") - F.col("pw")).alias("t"), F.abs("w").alias("a"), (F.col("forward_return").isNull() & (F.col("w") != 0)).cast("long").alias("m"))
     left = held.filter("next IS NULL OR next > code + 1").select("candidate_id", (F.col("code") + 1).alias("code"), F.lit(0.0).alias("g"), F.abs("w").alias("t"), F.lit(0.0).alias("a"), F.lit(0).cast("long").alias("m"))
     by = entered.unionByName(left).groupBy("candidate_id", "code").agg(F.sum("g").alias("g"), F.sum("t").alias("t"), F.sum("a").alias("a"), F.sum("m").alias("m"))
-    grid = weights.select("candidate_id").distinct().crossJoin(F.broadcast(days))  # candidates times days: the size of the result
-    d = grid.join(by, ["candidate_id", "code"], "left").na.fill(0.0, ["g", "t", "a"]).na.fill(0, ["m"])
+    # candidates times days is the size of the result: each candidate gets a sequence of codes, and these their dates
+    grid = weights.select("candidate_id").distinct().withColumn("code", F.explode(F.sequence(F.lit(1), F.lit(days.count()))))
+    d = grid.join(by, ["candidate_id", "code"], "left").join(days, "code").na.fill(0.0, ["g", "t", "a"]).na.fill(0, ["m"])
     d = d.withColumn("cost_estimate", F.col("t") * (costs.cost_bps / 1e4))
     d = d.withColumn("net_return", F.when(F.col("a") > 0, F.col("g")).otherwise(costs.cash_daily_return) - F.col("cost_estimate"))
     w = Window.partitionBy("candidate_id").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
@@ -55,8 +58,9 @@ def weight_path(weights: DataFrame, returns: DataFrame, calendar: DataFrame, cos
 
 def portfolio_labels(weights: DataFrame, returns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """Weight paths of all candidates and cash, with the utility above that of the default candidate."""
-    calendar = weights.select("date").distinct()
-    paths = weight_path(weights, returns, calendar, costs)
+    weights = once(weights)
+    calendar = once(weights.select("date").distinct())
+    paths = once(weight_path(weights, returns, calendar, costs))
     net = costs.cash_daily_return
     zero = F.lit(0.0)
     cash = calendar.select(F.lit("cash").alias("candidate_id"), "date", F.lit(net).alias("gross_return"), zero.alias("cost_estimate"), F.lit(net).alias("net_return"), zero.alias("turnover"), zero.alias("drawdown"), zero.alias("drawdown_increment"), F.lit(0.5 * costs.gamma_risk * net**2).alias("risk_penalty"), F.lit(net - 0.5 * costs.gamma_risk * net**2 - costs.cash_hurdle_daily).alias("net_utility"), F.lit(0).cast("long").alias("missing_forward_count"))
@@ -67,6 +71,7 @@ def portfolio_labels(weights: DataFrame, returns: DataFrame, costs: Costs = Cost
 
 def simulate_candidates(weights: DataFrame, returns: DataFrame, cost_bps: float = 5.0) -> DataFrame:
     """The output panel of each candidate: returns, turnover, cost, drawdown, gross exposure, cash."""
+    weights = once(weights)
     path = weight_path(weights, returns, weights.select("date").distinct(), Costs(cost_bps=cost_bps))
     gross = weights.groupBy("candidate_id", "date").agg(F.sum(F.abs("target_weight")).alias("gross_exposure"))
     return path.join(gross, ["candidate_id", "date"], "left").select(F.col("candidate_id").alias("model_id"), "date", "gross_return", "net_return", "turnover", F.col("cost_estimate").alias("cost"), "drawdown", F.coalesce("gross_exposure", F.lit(0.0)).alias("gross_exposure"), (1 - F.least(F.lit(1.0), F.coalesce("gross_exposure", F.lit(0.0)))).alias("cash_weight"))

@@ -151,11 +151,12 @@ def xsec_rank(df: DataFrame, x: str, date: str, asset: str, window: int, skip: i
 
 
 def average_rank(df: DataFrame, x: str, keys: list[str], out: str, percent: bool = False, least: int = 1) -> DataFrame:
-    """Ranks from 1 within the keys, equal values sharing the mean of their ranks; null for null."""
-    some = F.col(x).isNotNull()
-    n = F.count(x).over(Window.partitionBy(*keys))
-    w = Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last())  # one order serves the rank and the peers
-    rank = F.rank().over(w) + (F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
+    """Ranks from 1 within the keys, equal values sharing the mean of their ranks; null for null. Rank and cumulative
+    share come from one order, so peers are never gathered."""
+    some, p = F.col(x).isNotNull(), Window.partitionBy(*keys)
+    w = p.orderBy(F.col(x).asc_nulls_last())
+    n, last = F.count(x).over(p), F.round(F.cume_dist().over(w) * F.count(F.lit(1)).over(p))
+    rank = (F.rank().over(w) + last) / 2
     return df.withColumn(out, F.when(some & (n >= least), rank / n if percent else rank))
 
 

@@ -16,9 +16,13 @@ def positions_from_predictions(df: DataFrame, top_k: int = 20, cap: float = 0.1)
     keys = ["date", "fold_id", "split"]
     w = Window.partitionBy(*keys, "model_id").orderBy(F.desc("prediction"), "instrument")
     top = df.filter("prediction IS NOT NULL").withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= top_k)
-    own = top.withColumn("n", F.count("*").over(Window.partitionBy(*keys, "model_id"))).select(*keys, F.col("model_id").alias("candidate_id"), "instrument", _weight(F.col("n"), cap).alias("target_weight"))
-    pool = top.select(*keys, "instrument").distinct().withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    return own.unionByName(pool.select(*keys, F.lit("equal_blend").alias("candidate_id"), "instrument", _weight(F.col("n"), cap).alias("target_weight")))
+    top = top.withColumn("n", F.count("*").over(Window.partitionBy(*keys, "model_id")))
+    # what a date's models chose, at most top_k rows a model, is put into one row, from which the blend follows, too
+    chosen = top.groupBy(*keys).agg(F.collect_list(F.struct(F.col("model_id").alias("candidate_id"), "instrument", "n")).alias("own"))
+    chosen = chosen.withColumn("pool", F.array_distinct(F.col("own.instrument")))
+    blend = F.transform("pool", lambda i: F.struct(F.lit("equal_blend").alias("candidate_id"), i.alias("instrument"), F.size("pool").cast("long").alias("n")))
+    rows = chosen.select(*keys, F.explode(F.concat("own", blend)).alias("r"))
+    return rows.select(*keys, "r.candidate_id", "r.instrument", _weight(F.col("r.n"), cap).alias("target_weight"))
 
 
 def positions_from_intents(df: DataFrame, fold_id: str, split: str, top_k: int = 20, cap: float = 0.1) -> DataFrame:

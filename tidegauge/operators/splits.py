@@ -1,7 +1,7 @@
 """Plans of training and test rows over time.
 
-Row positions are counted from the numbers of rows per time, so no task orders the whole frame: only the distinct times
-are ordered globally. Fold bounds are few literals; each row finds its folds by itself.
+Row positions are counted from the numbers of rows per time, and these by ranges of times, so no task orders the whole
+frame. Fold bounds are few literals; each row finds its folds by itself.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ from math import comb
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running_total
+
 
 def positions(df: DataFrame, time: str, tie: list[str], out: str = "pos") -> DataFrame:
     """0-based place of each row in the order of time and ``tie``."""
     counts = df.groupBy(time).agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__b", F.sum("__n").over(Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)))
+    before = running_total(counts, [], time, "__n", "__b")
     within = F.row_number().over(Window.partitionBy(time).orderBy(*tie))
     return df.withColumn("__w", within).join(before.drop("__n"), time).withColumn(out, F.coalesce("__b", F.lit(0)) + F.col("__w") - 1).drop("__w", "__b")
 

@@ -12,6 +12,7 @@ from ..operators import aggregates, filters, rolling, stats
 from ..operators.columns import normalize_market_columns
 from ..sources import readers
 from .graph import Plan, compile_plan, run_cleaning
+from ..sources.shared import once
 
 
 @dataclass(frozen=True)
@@ -75,7 +76,4 @@ def stage_checkpoint(df: DataFrame, label: str, root: str | None = None) -> Data
     if root:
         df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{label}")
         return df.sparkSession.read.parquet(f"{root.rstrip('/')}/{label}")
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
-    return df.checkpoint()
+    return once(df)

@@ -22,6 +22,7 @@ from ..operators import strategies as G
 from ..plans import graph
 from ..sources import readers
 from ..sources.adapters import bars, predictions, table
+from ..sources.shared import once
 from .base import BARS, PREDICTIONS, query
 from .relational import TIE, _six
 
@@ -40,6 +41,12 @@ def _positions(spark, d):
     return S.positions_from_predictions(predictions(spark, d), 5)
 
 
+def _book(spark, d):
+    """Positions, and the returns that follow, of one panel."""
+    p = predictions(spark, d)
+    return once(S.positions_from_predictions(p, 5)), p.filter("model_id = 'momentum'").select("date", "instrument", "forward_return")
+
+
 @query("positions_from_predictions", f"WITH {TOP} SELECT date, fold_id, split, candidate_id, instrument, round(target_weight, 9) AS target_weight FROM positions")
 def positions_from_predictions(spark, d):
     return _positions(spark, d).select("date", "fold_id", "split", "candidate_id", "instrument", F.round("target_weight", 9).alias("target_weight"))
@@ -476,39 +483,35 @@ lab AS (SELECT candidate_id, date, code, g, t, net, drawdown, net - 0.5 * net *
 COSTS = V.Costs(lambda_turnover=0.1, eta_drawdown=0.2)
 
 
-def _forward(spark, d):
-    return predictions(spark, d).filter("model_id = 'momentum'").select("date", "instrument", "forward_return")
-
-
 @query("weight_path", f"WITH {PATHS} SELECT candidate_id, date, round(g + 1.3e-9, 6) AS gross_return, round(net + 1.3e-9, 6) AS net_return, round(t + 1.3e-9, 6) AS turnover, round(drawdown + 1.3e-9, 6) AS drawdown, round(u + 1.3e-9, 6) AS net_utility FROM lab")
 def weight_path(spark, d):
-    p = _positions(spark, d)
-    return _six(V.weight_path(p, _forward(spark, d), p.select("date").distinct(), COSTS), "candidate_id", "date", **{c: c for c in ("gross_return", "net_return", "turnover", "drawdown", "net_utility")})
+    p, forward = _book(spark, d)
+    return _six(V.weight_path(p, forward, p.select("date").distinct(), COSTS), "candidate_id", "date", **{c: c for c in ("gross_return", "net_return", "turnover", "drawdown", "net_utility")})
 
 
 @query("portfolio_labels", f"WITH {PATHS}, a AS (SELECT candidate_id, date, u FROM lab UNION ALL SELECT 'cash', date, 0 FROM days), b AS (SELECT date, u AS b FROM lab WHERE candidate_id = 'equal_blend') SELECT candidate_id, date, round(u - b + 1.3e-9, 6) AS delta FROM a JOIN b USING (date)")
 def portfolio_labels(spark, d):
-    return _six(V.portfolio_labels(_positions(spark, d), _forward(spark, d), COSTS), "candidate_id", "date", delta="delta_utility_vs_default")
+    return _six(V.portfolio_labels(*_book(spark, d), COSTS), "candidate_id", "date", delta="delta_utility_vs_default")
 
 
 @query("candidate_economics", f"""WITH {PATHS}, e AS (SELECT *, max(c) OVER (PARTITION BY candidate_id ORDER BY code) AS m FROM cum) SELECT candidate_id AS model_id, round(arg_max(c, date) + 1.3e-9, 6) AS cum_log, round(avg(net) / stddev_pop(net) * sqrt(252) + 1.3e-9, 6) AS sharpe, round(100 * max(1 - exp(c - greatest(m, 0))) + 1.3e-9, 6) AS max_drawdown_pct, round(avg(t) + 1.3e-9, 6) AS mean_turnover, count(*) AS n_days,
 round(avg(net) / stddev_pop(net) * sqrt(252) - (SELECT avg(net) / stddev_pop(net) * sqrt(252) FROM cum WHERE candidate_id = 'equal_blend') + 1.3e-9, 6) AS delta_sharpe FROM e GROUP BY 1""")
 def candidate_economics(spark, d):
-    out = V.simulate_candidates(_positions(spark, d), _forward(spark, d))
+    out = V.simulate_candidates(*_book(spark, d))
     return _six(V.viability(out, "equal_blend"), "model_id", "n_days", **{c: c for c in ("cum_log", "sharpe", "max_drawdown_pct", "mean_turnover", "delta_sharpe")})
 
 
 @query("cost_sensitivity", f"WITH {PATHS}, x AS (SELECT candidate_id AS model_id, year(date) AS fold, b AS bps, g - t * b / 1e4 AS r FROM net, (VALUES (0.0::DOUBLE), (10.0::DOUBLE)) v(b)) SELECT model_id, fold, bps, round(sum(r) + 1.3e-9, 6) AS net, round(avg(r) / stddev_pop(r) * sqrt(252) + 1.3e-9, 6) AS sharpe FROM x GROUP BY 1, 2, 3")
 def cost_sensitivity(spark, d):
-    out = V.simulate_candidates(_positions(spark, d), _forward(spark, d))
+    out = V.simulate_candidates(*_book(spark, d))
     folds = out.select("date").distinct().withColumn("fold", F.year("date").cast("long"))
     return _six(V.cost_sensitivity(out, folds, [0.0, 10.0]), "model_id", "fold", "bps", net="net", sharpe="sharpe")
 
 
 def _labels(spark, d):
     """Labels of the candidates with the split of their dates."""
-    days = predictions(spark, d).select("date", "split").distinct()
-    return V.portfolio_labels(_positions(spark, d), _forward(spark, d), COSTS).join(days, "date")
+    positions, forward = _book(spark, d)
+    return once(V.portfolio_labels(positions, forward, COSTS).join(positions.select("date", "split").distinct(), "date"))
 
 
 LABELS = PATHS + ", labels AS (SELECT candidate_id, date, split, u FROM (SELECT candidate_id, date, u FROM lab UNION ALL SELECT 'cash', date, 0 FROM days) JOIN (SELECT DISTINCT date, split FROM predictions) USING (date))"
@@ -721,8 +724,9 @@ def model_matrix(spark, d):
 
 @query("tree_gate")
 def tree_gate(spark, d):
-    x = V.policy_state(V.policy_state(_labels(spark, d), days=20), days=5)
-    best = V.oracle_diagnostic(_labels(spark, d)).select("date", F.col("selected_candidate_id").alias("best"))
+    labels = _labels(spark, d)
+    x = V.policy_state(V.policy_state(labels, days=20), days=5)
+    best = V.oracle_diagnostic(labels).select("date", F.col("selected_candidate_id").alias("best"))
     wide = x.groupBy("date", "split").pivot("candidate_id", ["momentum", "reversal", "volume"]).agg(F.first("cand_mean_utility_20")).join(best, "date").na.fill(0.0)
     return M.gate(wide, ["momentum", "reversal", "volume"], "best", "tree").select("date", "selected_candidate_id")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import once
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,10 +29,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long panel of three simple models with the return that follows; three folds in order of time."""
+    """A long panel of three simple models with the return that follows; three folds in order of time. The bars are
+    made once and checkpointed: their dates and all that reads the panel start from there."""
     w = Window.partitionBy("instrument").orderBy("date")
     b = bars(spark, sf_dir).select("*", F.lag("close", 1).over(w).alias("c1"), F.lag("close", 5).over(w).alias("c5"), F.lag("volume", 1).over(w).alias("v1"), F.lead("close", 1).over(w).alias("next_close"), F.row_number().over(w).alias("nth"))
-    b = b.filter("nth > 5 AND next_close IS NOT NULL")
+    b = once(b.filter("nth > 5 AND next_close IS NOT NULL").select("instrument", "date", "close", "volume", "c1", "c5", "v1", "next_close"))
     dates = b.select("date").distinct().select("date", (F.ntile(3).over(Window.orderBy("date")) - 1).alias("fold"))  # a row a day
     models = F.array(
         F.struct(F.lit("momentum").alias("model_id"), F.log(F.col("close") / F.col("c1")).alias("prediction")),

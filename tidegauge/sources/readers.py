@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from datetime import date, timedelta
@@ -49,7 +50,8 @@ def read_path(spark: SparkSession, path: str, schema=None) -> DataFrame:
 @register_source("file")
 def file_source(spark: SparkSession, path: str, symbol: str | None = None, start: str | None = None, end: str | None = None, kind: str | None = None) -> DataFrame:
     """History from a file: the time column is found by name (any case) and parsed, the symbol added if there is none,
-    rows filtered by symbol and closed interval, and stamped with valid_time and knowledge_time where these lack."""
+    rows filtered by symbol and closed interval, and stamped with valid_time and knowledge_time where these lack. Rows
+    have no order: windows and sinks that need one ask for it."""
     df = read_path(spark, path) if kind is None else read_path(spark, path) if kind != "arrow" else read_arrow(spark, path)
     low = {c.lower(): c for c in reversed(df.columns)}
     ts = next((low[x] for x in ("timestamp", "date", "time") if x in low), None)
@@ -69,7 +71,7 @@ def file_source(spark: SparkSession, path: str, symbol: str | None = None, start
     for c in ("valid_time", "knowledge_time"):
         if c not in df.columns:
             df = df.withColumn(c, F.to_date("timestamp"))
-    return nan_to_null(df).orderBy("timestamp")
+    return nan_to_null(df)
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
@@ -191,7 +193,7 @@ class RemoteSource:
         return asked.mapInPandas(lambda it: (fetch(s, start, end).assign(symbol=s) for p in it for s in p["symbol"]), self.schema)
 
 
-for _name in ("alpha_vantage", "coingecko", "fred", "ibkr", "influxdb", "quandl", "yahoo"):
+for _name in ("alpha_vantage", "coingecko", "fred", "ibkr", "influxdb", "quandl", "yahoo", "satellite", "weather", "social_sentiment"):
     SOURCES[_name] = RemoteSource
 
 
@@ -286,6 +288,18 @@ class PersistentCache:
         fs.delete(p, True)
 
     def get_or_compute(self, df: DataFrame) -> DataFrame:
-        """Keyed by the plan, so an equal plan is read and not run again."""
-        key = f"plan_{df.semanticHash() & 0xFFFFFFFF:08x}"
+        """Keyed by the plan and by names, sizes and times of its input files, so an equal plan over the same files is
+        read and not run again."""
+        conf = self.spark.conf
+        before = conf.get("spark.sql.debug.maxToStringFields")
+        conf.set("spark.sql.debug.maxToStringFields", str(1 << 20))
+        try:
+            parts = [df._jdf.queryExecution().analyzed().canonicalized().toString(), str(df.semanticHash()), df.schema.json()]
+        finally:
+            conf.set("spark.sql.debug.maxToStringFields", before)
+        for path in sorted(df.inputFiles()):
+            fs, p = self._fs(path)
+            status = fs.getFileStatus(p)
+            parts += [path, str(status.getLen()), str(status.getModificationTime())]
+        key = "plan_" + hashlib.sha256("\n".join(parts).encode()).hexdigest()
         return self.load(key) if self.exists(key) else self.save(key, df)
