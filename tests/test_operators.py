@@ -355,7 +355,7 @@ def test_regimes_and_change_states_of_every_series(spark, monkeypatch):
             want.add((k, days[i], "hi" if trend > 0.01 else "lo" if trend < -0.01 else "flat", vol, kind))
         change = slow_bocpd(vs[1:], 1 / 100, 512, (0.0, 1.0, 1.0, 1.0))
         states |= {(k, days[0]): "stable"} | {(k, d): "changepoint" if c >= 0.5 else "transition" if t >= 0.25 else "stable" for d, (c, _, t) in zip(days[1:], change)}
-    assert {tuple(r) for r in QUERIES["regime_classes_all"](spark, "").collect()} == want
+    assert {tuple(r) for r in QUERIES["regime_classes"](spark, "").collect()} == want
     assert {(r[0], r[1]): r[2] for r in QUERIES["change_states"](spark, "").collect()} == states
 
 

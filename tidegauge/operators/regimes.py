@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from bisect import insort
+
 import numpy as np
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..streaming.pipelines import Incremental
 from .rolling import trailing
-from .sequential import bocpd
+from .sequential import bocpd, scan
 
 
 def trend_regime(ret: str, w: WindowSpec, n: int = 20, eps: float = 0.01) -> Column:
@@ -21,10 +24,30 @@ def annual_log_volatility(ret: str, w: WindowSpec, n: int = 20, year: float = 25
     return F.log(F.greatest(F.sqrt(year / n * F.sum(F.col(ret) * F.col(ret)).over(trailing(w, n))), F.lit(1e-12)))
 
 
-def volatility_regime(log_vol: str, w: WindowSpec) -> Column:
-    """lo, med or hi by linear terciles of the series so far; for series of dates, not of rows without end."""
-    q = F.percentile(log_vol, F.array(F.lit(1.0 / 3), F.lit(2.0 / 3))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.when(F.col(log_vol) <= q[0], "lo").when(F.col(log_vol) <= q[1], "med").when(F.col(log_vol).isNotNull(), "hi")
+def expanding_quantiles(x: np.ndarray, quantiles: list[float]) -> np.ndarray:
+    """Linear quantiles of the known values so far, by row and quantile; each value is put into its place once."""
+    out, known = np.full((len(x), len(quantiles)), np.nan), []
+    for i, v in enumerate(x):
+        if not np.isnan(v):
+            insort(known, v)
+        if known:
+            for j, q in enumerate(quantiles):
+                at = q * (len(known) - 1)
+                lo, hi = known[math.floor(at)], known[math.ceil(at)]
+                out[i, j] = lo + (hi - lo) * (at - math.floor(at))
+    return out
+
+
+def volatility_regimes(df: DataFrame, log_vol: str, keys: list[str], order: list[str], out: str = "vol") -> DataFrame:
+    """Adds lo, med or hi by linear terciles of the series so far; null where the volatility is unknown."""
+
+    def kernel(p):
+        q = expanding_quantiles(p[log_vol].to_numpy(float), [1.0 / 3, 2.0 / 3])
+        return {"__lo": q[:, 0], "__hi": q[:, 1]}
+
+    d = scan(df, keys, order, ["__lo", "__hi"], kernel)
+    x = F.col(log_vol)
+    return d.withColumn(out, F.when(x <= F.col("__lo"), "lo").when(x <= F.col("__hi"), "med").when(x.isNotNull(), "hi")).drop("__lo", "__hi")
 
 
 def change_state(change: str, transition: str, high: float = 0.5, mid: float = 0.25) -> Column:

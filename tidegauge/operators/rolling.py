@@ -239,3 +239,34 @@ def drawdown(x, w: WindowSpec, n: int | None = None, least: int = 1) -> Column:
     """Value over the highest value so far (or of ``n`` rows), less 1."""
     f = trailing(w, n) if n else w.rowsBetween(Window.unboundedPreceding, 0)
     return enough(ratio(_c(x), F.max(_c(x)).over(f)) - 1, _c(x), f, least)
+
+
+def industry_score(df: DataFrame, ret: str, sector: str, asset: str, date: str, window: int = 63, out: str = "industry_score") -> DataFrame:
+    """Per date the mean over a sector's assets of their summed returns of ``window`` rows, less the mean over all
+    assets; null where no asset of the sector has so many."""
+    f = trailing(series([asset], [date]), window)
+    d = df.withColumn("__m", F.when(F.count(ret).over(f) >= window, F.sum(ret).over(f)))
+    by = d.groupBy(date, sector).agg(F.sum("__m").alias("__s"), F.count("__m").alias("__n"))  # a row a date and sector
+    all_ = by.groupBy(date).agg((F.sum("__s") / F.sum("__n")).alias("__all"))
+    score = by.join(all_, date).select(F.col(date).alias("__d"), F.col(sector).alias("__k"), (ratio(F.col("__s"), F.col("__n")) - F.col("__all")).alias(out))
+    return d.join(score, (F.col(date) == F.col("__d")) & F.col(sector).eqNullSafe(F.col("__k")), "left").drop("__m", "__d", "__k")
+
+
+def lag_outcome(x, w: WindowSpec, horizon: int) -> Column:
+    """A diagnostic of outcomes, known only ``horizon`` rows later (at least one)."""
+    return F.lag(_c(x), max(1, int(horizon))).over(w)
+
+
+def timeframe_drift(df: DataFrame, x: str, keys: list[str], order: list[str], windows: dict[str, int] | None = None, sensitivity: float = 2.5, every: int = 1, out: str = "drift") -> DataFrame:
+    """Drift over several trailing windows, seen anew every ``every`` rows: the mean of a full window lies at least
+    ``sensitivity`` (for the longest window one and a half times that) of the deviations of the time before away from
+    the mean of the time before. Adds ``<out>_<window>`` and ``out``, whether any does; false while unknown."""
+    windows = windows or {"short": 20, "medium": 60, "long": 200}
+    w, longest = series(keys, order), max(windows.values())
+    d = df.withColumns({f"__{k}_{n}": c for n, size in windows.items() for k, c in (("m", rolling_mean(x, w, size)), ("s", rolling_std(x, w, size)))})
+    flags = {f"{out}_{n}": F.coalesce(ratio(F.abs(F.col(f"__m_{n}") - F.lag(f"__m_{n}", every).over(w)), F.lag(f"__s_{n}", every).over(w) + 2e-12) >= sensitivity * (1.5 if size == longest else 1.0), F.lit(False)) for n, size in windows.items()}
+    d = d.withColumns(flags).drop(*[f"__{k}_{n}" for k in "ms" for n in windows])
+    any_ = F.lit(False)
+    for c in flags:
+        any_ |= F.col(c)
+    return d.withColumn(out, any_)

@@ -69,6 +69,23 @@ def adx(h: np.ndarray, lo: np.ndarray, c: np.ndarray, n: int = 14) -> dict[str,
     return {"adx": ema(np.where(np.isfinite(dx), dx, np.nan), alpha=1 / n), "dmp": p, "dmn": m}
 
 
+def kalman_residual(y: np.ndarray, x: np.ndarray, process_noise: float = 1e-4, obs_noise: float = 1e-2) -> np.ndarray:
+    """What a regression with coefficients that walk at random did not expect of each value, given those before. The
+    coefficients start at 0 with unit variance; rows with an unknown value have no residual and change nothing."""
+    if process_noise <= 0 or obs_noise <= 0:
+        raise ValueError("noises must be positive")
+    n, k = x.shape
+    out, beta, p = np.full(n, np.nan), np.zeros(k), np.eye(k)
+    for i in range(n):
+        if np.isfinite(y[i]) and np.isfinite(x[i]).all():
+            p = p + process_noise * np.eye(k)
+            out[i] = y[i] - x[i] @ beta
+            gain = p @ x[i] / (x[i] @ p @ x[i] + obs_noise)
+            beta = beta + gain * out[i]
+            p = p - np.outer(gain, x[i] @ p)
+    return out
+
+
 def pairs_position(z: np.ndarray, valid: np.ndarray, entry: float = 2.0, exit_: float = 0.5, max_hold: int = 20) -> np.ndarray:
     """-1, 0 or 1: against the spread from |z| >= entry (where ``valid``), out at |z| <= exit or after ``max_hold``
     rows. An unknown z holds what there is."""

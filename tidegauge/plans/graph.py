@@ -145,6 +145,16 @@ def _residual(w, y, factors, window=60, out="residual_ols"):
     return {out: R.residual_ols(y, factors, w, window)}
 
 
+@feature_op("momentum.residual_kf", "scan", requires=lambda p: [p["y"], *p["factors"]], provides=lambda p: [p.get("out", "residual_kf")])
+def _residual_kf(p, y, factors, process_noise=1e-4, obs_noise=1e-2, out="residual_kf"):
+    return {out: S.kalman_residual(p[y].to_numpy(float), p[list(factors)].to_numpy(float), process_noise, obs_noise)}
+
+
+@feature_op("momentum.industry_score", "frame", requires=lambda p: [p.get("column", "returns"), p.get("sector", "sector")], provides=lambda p: [p.get("out", "industry_score")])
+def _industry(df, keys, order, column="returns", sector="sector", window=63, out="industry_score"):
+    return R.industry_score(df, column, sector, keys[0], order[0], window, out)
+
+
 @feature_op("expr", requires=lambda p: p.get("needs", []), provides=lambda p: [p["out"]])
 def _expr(w, tree, out, needs=()):
     return {out: expression(tree)}

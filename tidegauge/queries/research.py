@@ -201,7 +201,8 @@ def time_scalars(spark, d):
     return e.select("event_id", c["day_of_week"].alias("day_of_week"), c["is_holiday_us"].alias("is_holiday_us"), f["month"].alias("month"), f["quarter"].alias("quarter"), f["month_start"].alias("month_start"), f["hour_in_session"].alias("hour_in_session"), F.unix_timestamp(R.time_bucket("ts", 3600)).alias("bucket"))
 
 
-@query("market_hours")
+@query("market_hours", """WITH z AS (SELECT event_id, ts, ts - CASE WHEN ts >= TIMESTAMP '2024-03-10 07:00:00' AND ts < TIMESTAMP '2024-11-03 06:00:00' THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS t FROM events), m AS (SELECT *, hour(t) * 60 + minute(t) AS minute, isodow(t) AS dow FROM z)
+SELECT event_id, dow < 6 AND minute >= 570 AND minute < 960 AS is_open, CAST(CAST(t AS DATE) + CASE WHEN minute < 570 AND dow < 6 THEN 0 WHEN dow = 5 THEN 3 WHEN dow = 6 THEN 2 ELSE 1 END AS TIMESTAMP) + INTERVAL 570 MINUTE AS next_open, ts + CASE WHEN ts >= TIMESTAMP '2024-03-10 02:00:00' AND ts < TIMESTAMP '2024-11-03 02:00:00' THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS instant FROM m""")
 def market_hours(spark, d):
     return table(spark, d, "events").select("event_id", X.market_open("ts").alias("is_open"), X.next_open("ts").alias("next_open"), X.attach_zone("ts", "America/New_York").alias("instant"))
 
@@ -554,31 +555,23 @@ def ridge_router(spark, d):
     return V.route(V.predict_deltas(x, V.train_ridge_selector(x, f), f).dropna(subset=["predicted_delta_utility"]), V.Router(0.01, 0.0, 1e-4))
 
 
-@query("softmax_allocation")
+@query("softmax_allocation", f"""WITH RECURSIVE {LABELS}, v AS (SELECT candidate_id, date, CASE WHEN candidate_id = 'equal_blend' THEN 0 ELSE u - max(u) FILTER (candidate_id = 'equal_blend') OVER (PARTITION BY date) END AS v FROM labels), x AS (SELECT *, exp(v - max(v) OVER (PARTITION BY date)) AS e FROM v),
+s AS (SELECT candidate_id, date, e / sum(e) OVER (PARTITION BY date) AS s, row_number() OVER (PARTITION BY candidate_id ORDER BY date) AS i FROM x), m AS (SELECT candidate_id, date, i, s AS a FROM s WHERE i = 1 UNION ALL SELECT s.candidate_id, s.date, s.i, 0.8::DOUBLE * m.a + 0.2::DOUBLE * s.s FROM m JOIN s ON s.candidate_id = m.candidate_id AND s.i = m.i + 1)
+SELECT date, candidate_id, round(a / sum(a) OVER (PARTITION BY date) + 1.3e-9, 6) AS allocation FROM m""")
 def softmax_allocation(spark, d):
     x = _labels(spark, d).select("date", "candidate_id", F.col("delta_utility_vs_default").alias("predicted_delta_utility"))
     return _six(V.softmax_allocation(x), "date", "candidate_id", allocation="allocation")
 
 
-@query("regime_classes", f"""WITH {RET}, x AS (SELECT instrument, date, sum(ln(1 + greatest(r, -0.9))) OVER {_frame('19 PRECEDING', 'CURRENT ROW')} AS trend, ln(greatest(sqrt(252.0 / 20 * sum(r * r) OVER {_frame('19 PRECEDING', 'CURRENT ROW')}), 1e-12)) AS rv FROM rets WHERE instrument <= 3 AND r IS NOT NULL),
+@query("regime_classes", f"""WITH {RET}, x AS (SELECT instrument, date, sum(ln(1 + greatest(r, -0.9))) OVER {_frame('19 PRECEDING', 'CURRENT ROW')} AS trend, ln(greatest(sqrt(252.0 / 20 * sum(r * r) OVER {_frame('19 PRECEDING', 'CURRENT ROW')}), 1e-12)) AS rv FROM rets WHERE r IS NOT NULL),
 q AS (SELECT *, quantile_cont(rv, 1.0 / 3) OVER {W} AS a, quantile_cont(rv, 2.0 / 3) OVER {W} AS z FROM x) SELECT instrument, date, CASE WHEN trend > 0.01 THEN 'hi' WHEN trend < -0.01 THEN 'lo' ELSE 'flat' END AS trend, CASE WHEN rv <= a THEN 'lo' WHEN rv <= z THEN 'med' ELSE 'hi' END AS vol,
 CASE WHEN rv > z THEN 'high_vol' WHEN trend < -0.01 THEN 'bear' WHEN trend > 0.01 THEN 'bull' ELSE 'sideways' END AS regime FROM q""".replace("1.0 / 3", "1.0::DOUBLE / 3").replace("2.0 / 3", "2.0::DOUBLE / 3"))
 def regime_classes(spark, d):
-    """The classes of the first three series, as far as the SQL goes; ``regime_classes_all`` has every series."""
-    return _regime_classes(_returns(spark, d).filter("instrument <= 3"))
-
-
-@query("regime_classes_all")
-def regime_classes_all(spark, d):
     """Trend by summed log returns, volatility by expanding terciles, and the class of both, for every series."""
-    return _regime_classes(_returns(spark, d))
-
-
-def _regime_classes(returns):
     w = R.series(KEYS, ORDER)
-    r = returns.filter("r IS NOT NULL").withColumn("r9", F.greatest("r", F.lit(-0.9)))
+    r = _returns(spark, d).filter("r IS NOT NULL").withColumn("r9", F.greatest("r", F.lit(-0.9)))
     x = r.select("instrument", "date", H.trend_regime("r9", w).alias("trend"), H.annual_log_volatility("r", w).alias("rv"))
-    x = x.withColumn("vol", H.volatility_regime("rv", w))
+    x = H.volatility_regimes(x, "rv", KEYS, ORDER)
     return x.select("instrument", "date", "trend", "vol", H.regime_class("trend", "vol").alias("regime"))
 
 
@@ -621,7 +614,11 @@ def signals(spark, d):
     return _six(b, "instrument", "date", **{c: c for c in s}, weighted=G.ensemble(s, [1.0, 1.0, 2.0]), majority=G.ensemble(s, method="majority"))
 
 
-@query("adaptive_ensemble")
+@query("adaptive_ensemble", f"""WITH {RET}, b AS (SELECT * FROM bars JOIN rets USING (instrument, date)), z AS (SELECT instrument, date, r, close, CASE WHEN count(*) OVER {_frame('19 PRECEDING', 'CURRENT ROW')} >= 20 THEN avg(close) OVER {_frame('19 PRECEDING', 'CURRENT ROW')} END AS m, CASE WHEN count(*) OVER {_frame('19 PRECEDING', 'CURRENT ROW')} >= 20 THEN stddev_pop(close) OVER {_frame('19 PRECEDING', 'CURRENT ROW')} END AS s FROM b),
+g AS (SELECT instrument, date, r, coalesce(-tanh((close - m) / nullif(s, 0) / 2), 0) AS a, CASE WHEN (close - m) / nullif(s * 2, 0) > 0.8 THEN 1.0 WHEN (close - m) / nullif(s * 2, 0) < -0.8 THEN -1.0 ELSE 0.0 END AS b FROM z),
+h AS (SELECT *, CASE WHEN sign(lag(a) OVER {W}) = sign(r) THEN 1.0 WHEN sign(lag(a) OVER {W}) <> sign(r) THEN 0.0 END AS ha, CASE WHEN sign(lag(b) OVER {W}) = sign(r) THEN 1.0 WHEN sign(lag(b) OVER {W}) <> sign(r) THEN 0.0 END AS hb FROM g),
+w AS (SELECT *, coalesce(avg(ha) OVER {_frame('50 PRECEDING', '1 PRECEDING')}, 0.5) AS wa, coalesce(avg(hb) OVER {_frame('50 PRECEDING', '1 PRECEDING')}, 0.5) AS wb FROM h)
+SELECT instrument, date, round(CASE WHEN wa + wb > 0 THEN least(greatest((wa * a + wb * b) / (wa + wb), -1), 1) ELSE 0 END + 1.3e-9, 6) AS signal FROM w""")
 def adaptive_ensemble(spark, d):
     w = R.series(KEYS, ORDER)
     b = bars(spark, d).select("instrument", "date", "close", R.log_return("close", w).alias("ret"))
@@ -629,7 +626,12 @@ def adaptive_ensemble(spark, d):
     return _six(G.adaptive_ensemble(b, ["a", "b"], "ret", KEYS, ORDER), "instrument", "date", signal="signal")
 
 
-@query("rsi_macd_strategies")
+@query("rsi_macd_strategies", f"""WITH RECURSIVE {BARS}, n AS (SELECT instrument, date, close, close - lag(close) OVER {W} AS d, row_number() OVER {W} AS i FROM bars),
+e AS (SELECT instrument, date, i, close AS f, close AS s, 0.0::DOUBLE AS g, NULL::DOUBLE AS up, NULL::DOUBLE AS down FROM n WHERE i = 1
+  UNION ALL SELECT n.instrument, n.date, n.i, e.f + 2.0::DOUBLE / 13 * (n.close - e.f), e.s + 2.0::DOUBLE / 27 * (n.close - e.s), 0.2::DOUBLE * ((e.f + 2.0::DOUBLE / 13 * (n.close - e.f)) - (e.s + 2.0::DOUBLE / 27 * (n.close - e.s))) + 0.8::DOUBLE * e.g,
+    CASE WHEN e.up IS NULL THEN greatest(n.d, 0) ELSE e.up + (greatest(n.d, 0) - e.up) / 14 END, CASE WHEN e.down IS NULL THEN greatest(-n.d, 0) ELSE e.down + (greatest(-n.d, 0) - e.down) / 14 END FROM e JOIN n ON n.instrument = e.instrument AND n.i = e.i + 1),
+x AS (SELECT *, 100 - 100 / (1 + up / (down + 1e-12)) AS rsi FROM e)
+SELECT instrument, date, round(CASE WHEN rsi IS NULL THEN 0 WHEN rsi <= 30 THEN 1 WHEN rsi >= 70 THEN -1 ELSE (50 - rsi) / 20 END + 1.3e-9, 6) AS rsi_signal, round(sign(round(f - s - g, 9)) + 1.3e-9, 6) AS macd_signal FROM x""")
 def rsi_macd_strategies(spark, d):
     from ..operators import sequential as Q
 
@@ -647,7 +649,9 @@ def blend_and_backtest(spark, d):
     return _six(G.backtest(G.blend(p, {"momentum": 0.6, "volume": 0.4}), prices, cost_bps=5.0), "date", gross="gross", turnover="turnover", ret="ret")
 
 
-@query("momentum_variants")
+@query("momentum_variants", f"""WITH {RET}, f AS (SELECT instrument, date, sum(r) OVER {_frame('64 PRECEDING', '5 PRECEDING')} AS s, count(r) OVER {_frame('64 PRECEDING', '5 PRECEDING')} AS n FROM rets),
+m AS (SELECT *, CASE WHEN n >= 60 THEN round(s, 12) END AS m FROM f), k AS (SELECT *, CASE WHEN m IS NOT NULL AND count(m) OVER (PARTITION BY date) >= 2 THEN (rank() OVER (PARTITION BY date ORDER BY m NULLS LAST) + (count(*) OVER (PARTITION BY date, m) - 1) / 2) / count(m) OVER (PARTITION BY date) END AS k FROM m),
+x AS (SELECT instrument, date, sign(round(s, 12)) AS own, coalesce(2 * k - 1, 0) AS rank FROM k) SELECT instrument, date, round(coalesce(own, 0) + 1.3e-9, 6) AS tsmom, round(rank + 1.3e-9, 6) AS xsec, round(CASE WHEN sign(rank) = own THEN rank ELSE 0 END + 1.3e-9, 6) AS dual FROM x""")
 def momentum_variants(spark, d):
     b = bars(spark, d).select("instrument", "date", "close")
     for v in ("tsmom", "xsec", "dual"):
@@ -673,7 +677,11 @@ def ledger_positions(spark, d):
     return held.join(c.select("account.account", "account.symbol", F.round(F.col("cash") + F.lit(TIE), 2).alias("cash_flow")), ["account", "symbol"])
 
 
-@query("ledger_equity")
+@query("ledger_equity", """WITH RECURSIVE f AS (SELECT l_suppkey AS account, l_partkey % 20 AS symbol, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q, round(l_extendedprice / l_quantity + 1.3e-9, 2) AS price, row(l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS o FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY account, symbol ORDER BY o) AS i FROM f),
+p AS (SELECT account, symbol, i, q AS held, CASE WHEN q > 0 THEN price ELSE 0.0 END AS avg FROM n WHERE i = 1 UNION ALL SELECT n.account, n.symbol, n.i, p.held + n.q, CASE WHEN abs(p.held + n.q) < 1e-12 THEN 0.0 WHEN n.q > 0 THEN (p.avg * p.held + n.q * n.price) / (p.held + n.q) ELSE p.avg END FROM p JOIN n ON n.account = p.account AND n.symbol = p.symbol AND n.i = p.i + 1),
+l AS (SELECT account, symbol, arg_max(held, i) AS held, arg_max(avg, i) AS avg FROM p GROUP BY 1, 2), m AS (SELECT symbol, arg_max(price, o) AS market FROM f WHERE symbol < 10 GROUP BY 1), c AS (SELECT account, -sum(q * price) AS cash FROM f GROUP BY 1)
+SELECT c.account, round(any_value(cash) + sum(held * coalesce(market, avg)), 2) AS equity FROM c JOIN l USING (account) LEFT JOIN m USING (symbol) GROUP BY 1""")
 def ledger_equity(spark, d):
     f = _fills(spark, d).withColumns({"k1": F.col("seq.l_orderkey"), "k2": F.col("seq.l_linenumber"), "k3": F.col("seq.l_partkey"), "k4": F.col("seq.l_quantity"), "k5": F.col("seq.l_extendedprice")}).drop("seq")
     order = ["k1", "k2", "k3", "k4", "k5"]
@@ -758,12 +766,13 @@ def unite_fetched(spark, d):
     return readers.unite_fetched({"nation": table(spark, d, "nation").select(F.col("n_nationkey").alias("k")), "broken": ValueError("no"), "region": table(spark, d, "region").select(F.col("r_regionkey").alias("k"))})
 
 
-@query("hashed_embedding", "SELECT item_id, 1.0::DOUBLE AS norm FROM benchmark")
+@query("hashed_embedding", """WITH w AS (SELECT item_id, unnest(string_split_regex(lower(text), '[ \\t\\n\\f\\r]+')) AS w FROM benchmark), c AS (SELECT item_id, ('0x' || substring(md5(w), 1, 8))::BIGINT % 128 AS place, count(*) AS n FROM w WHERE w <> '' GROUP BY 1, 2)
+SELECT item_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) + 1.3e-9, 6) AS value FROM c""")
 def hashed_embedding(spark, d):
     from ..functions.text_models import hashed_embedding as embed
 
     e = embed(table(spark, d, "benchmark"), "text", 128)
-    return e.select("item_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+    return _six(e.select("item_id", F.posexplode("embedding").alias("place", "v")).filter("v > 0").withColumn("place", F.col("place").cast("long")), "item_id", "place", value="v")
 
 
 @query("topics")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import rolling as R
 from ..operators import sequential as S
 from ..sources.adapters import bars
-from .base import BARS, query
+from .base import BARS, INDICATORS, query
 
 KEYS, ORDER = ["instrument"], ["date"]
 
@@ -206,7 +206,7 @@ def recursive_indicators(spark, d):
     return out.select("instrument", "date", *[F.round(c, 5).alias(c) for c in names])
 
 
-@query("adx_keltner")
+@query("adx_keltner", f"WITH RECURSIVE {INDICATORS} SELECT instrument, date, round(adx, 7) AS adx, round(CASE WHEN atr > 0 THEN 100 * pl / atr END, 7) AS dmp, round(CASE WHEN atr > 0 THEN 100 * mi / atr END, 7) AS dmn, round(4 * atr20 / e20, 7) AS keltner_width FROM ind")
 def adx_keltner(spark, d):
     def kernel(p):
         h, lo, c = (p[x].to_numpy(float) for x in ("high", "low", "close"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import shared_folder
+
 
 def file_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
     """New files of a folder; ``files_per_batch`` bounds a micro-batch."""
@@ -171,3 +174,12 @@ def sessions(df: DataFrame, keys: list[str], ts: str, gap: str) -> DataFrame:
     """Sessions of each key: start, end, number of rows; for streams give a watermark first."""
     d = df.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"))
     return d.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All that a bounded stream gives, run to its end in micro-batches and written to the shared folder."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/data").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/data")
