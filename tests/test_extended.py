@@ -58,6 +58,13 @@ def test_the_graph_has_the_new_operators(spark):
     assert out["industry_score"].notna().sum() == 3 * 25 and out["residual_kf"].notna().sum() == 3 * 29
 
 
+def test_a_graph_reads_csv_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0)], "instrument string, date int, close double")
+    spark.createDataFrame([("a", 2, 7.5)], "instrument string, date int, extra double").write.option("header", True).csv(str(tmp_path / "x.csv"))
+    plan = graph.Plan(["instrument"], ["date"]).then("data.load_csv", path=str(tmp_path / "x.csv"), columns=["extra"])
+    assert [(r["date"], r["extra"]) for r in graph.compile_plan(df, plan).orderBy("date").collect()] == [(1, None), (2, 7.5)]
+
+
 def test_expanding_quantiles():
     x = np.array([3.0, np.nan, 1.0, 2.0, 2.0, 9.0])
     got = regimes.expanding_quantiles(x, [1 / 3, 0.5])
@@ -84,3 +91,36 @@ def test_explanation_plans():
     assert explanation_plan({"ops": [{"name": "pdp", "model_ref": "own", "background": 5}], "model_ref": "m"})["ops"] == [{"op": "explain.pdp", "model_ref": "own", "background": {"strategy": "random", "k": 5}}]
     with pytest.raises(ExplainError):
         explanation_plan({"ops": [{"depth": 1}]})
+
+
+@pytest.mark.parametrize("layers", [1, 2])
+def test_gradients_of_recurrent_layers(layers):
+    rng = np.random.default_rng(layers)
+    net, x, y = models.LstmRegressor(units=3, num_layers=layers, seed=layers), rng.normal(size=(4, 5, 2)), rng.normal(size=4)
+    net.start(2)
+    loss = lambda: ((net.output(x) - y) ** 2).mean() / 2
+    for p, g in zip(net.params, net.gradients(x, y)):
+        for at in [tuple(rng.integers(0, n) for n in p.shape) for _ in range(5)]:
+            was = p[at]
+            p[at] = was + 1e-6
+            up = loss()
+            p[at] = was - 1e-6
+            down = loss()
+            p[at] = was
+            assert g[at] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_networks_learn_from_all_parts(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(900, 6, 1))
+    rows = [(v.tolist(), float(v[:, 0].sum()), float(v[0, 0]), float(v[1, 0])) for v in x]
+    df = spark.createDataFrame(rows, "seq array<array<double>>, total double, a double, b double").repartition(3)
+    net = models.LstmRegressor(units=8, epochs=12, rate=0.01).fit(df, ["seq"], "total")
+    got = net.transform(df).toPandas()
+    assert np.corrcoef(got["prediction"], got["total"])[0, 1] > 0.9
+    mlp = models.MlpRegressor(hidden=(32, 16), epochs=25)
+    mlp.batch = 16
+    mlp.fit(df.withColumn("y", df["a"] * 2 - df["b"]), ["a", "b"], "y")
+    got = mlp.transform(df).toPandas()
+    assert np.corrcoef(got["prediction"], got["a"] * 2 - got["b"])[0, 1] > 0.9
+    assert models.MlpRegressor(epochs=2).fit(df.filter("a > 99"), ["a", "b"], "total").params

@@ -155,6 +155,14 @@ def _industry(df, keys, order, column="returns", sector="sector", window=63, out
     return R.industry_score(df, column, sector, keys[0], order[0], window, out)
 
 
+@feature_op("data.load_csv", "frame", requires=lambda p: [], provides=lambda p: list(p.get("columns", [])))
+def _load_csv(df, keys, order, path, columns=()):
+    """Joins the columns of a csv file by keys and order; the frame's rows stay."""
+    from ..sources.readers import read_path
+
+    return df.join(read_path(df.sparkSession, path).select(*keys, *order, *columns).dropDuplicates([*keys, *order]), [*keys, *order], "left")
+
+
 @feature_op("expr", requires=lambda p: p.get("needs", []), provides=lambda p: [p["out"]])
 def _expr(w, tree, out, needs=()):
     return {out: expression(tree)}
