@@ -117,7 +117,7 @@ def test_bands_reject_both_ends():
     assert quality_rules.compression_verdict(noise, bands, z)[1] == 1
     assert [bands.verdict(n, r) for n, r in ((63, 9.0), (64, 0.1), (64, 0.9), (90, 1.19), (1 << 22, 0.32), (1 << 22, 0.4))] == [0, -1, 0, 1, -1, 0]
     assert all(a[1] >= b[1] and a[2] >= b[2] for a, b in zip(bands.points, bands.points[1:]))
-    assert bands.limits(2896)[0] == pytest.approx(0.452 + (0.438 - 0.452) * math.log(2896 / 2048) / math.log(1.5))
+    assert bands.limits(2896)[0] == pytest.approx(bands.limits(2048)[0] + (bands.limits(3072)[0] - bands.limits(2048)[0]) * math.log(2896 / 2048) / math.log(1.5))
 
 
 def test_bands_tell_labelled_texts_apart(spark):
@@ -706,6 +706,7 @@ REMARKS = "<div><p>Nice text, thanks.</p></div>" * 8
     (f"<div><div>{LONG * 3}</div><div>{LONG}</div><div>Short.</div></div><div><a href=x>Home</a></div>", LONG, "Short.", 3),
     (f"<main>{FIVE}<table><tr><th>Year</th><td>1999</td></tr></table></main>", LONG, "1999", 7),
     (f"<p>We use cookies.</p><div>{FIVE}</div>", LONG, LONG, 5),
+    (f"<article><h1>T</h1><div class='lead'>{LONG * 2}</div>{FIVE}<div>Share it</div></article>", "T", LONG, 7),
 ])
 def test_pages_without_telling_names(page, first, last, blocks):
     got = html_extraction.extract_text(f"<html><body>{page}</body></html>").split("\n\n")

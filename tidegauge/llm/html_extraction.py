@@ -59,11 +59,12 @@ CUT = re.compile(r"[^a-z0-9]+")
 @dataclass(frozen=True)
 class Settings:
     """``window``: neighbours on each side that smooth a block's ratios; ``share``: part of the mean ratio that a path
-    must reach; ``named``: factor of the ratios below an element with a boilerplate name; ``landmark``: factor of those
+    must reach; ``node_share``: the same by node, within the article's element; ``named``: factor of the ratios below an element with a boilerplate name; ``landmark``: factor of those
     in article and main."""
 
     window: int = 1
     share: float = 0.7
+    node_share: float = 0.6
     named: float = 0.25
     landmark: float = 1.5
 
@@ -232,9 +233,9 @@ def passing_blocks(found: list[Block], ratio: dict[int, tuple[float, float]], se
     the first all candidates if none."""
     weight = [(len(x.text) - min(len(x.text), 2 * x.links)) * (x.prior > 0) for x in found]
     out = []
-    for k in (0, 1):
+    for k, share in enumerate((settings.share, settings.node_share)):
         mean = sum(ratio[x.path][k] * w for x, w in zip(found, weight)) / max(1, sum(weight))
-        out.append([x.prior > 0 and ratio[x.path][k] >= settings.share * mean and 2 * x.links <= len(x.text) for x in found])
+        out.append([x.prior > 0 and ratio[x.path][k] >= share * mean and 2 * x.links <= len(x.text) for x in found])
     return (out[0] if any(out[0]) else [x.prior > 0 for x in found]), out[1]
 
 

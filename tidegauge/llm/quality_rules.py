@@ -33,7 +33,7 @@ class Bands:
     ``chunk_bytes`` bytes, at most ``max_bad_chunks`` may leave the band of their own length."""
 
     points: tuple[tuple[int, float, float], ...] = (
-        (64, 0.70, 1.20), (128, 0.66, 1.08), (256, 0.57, 0.88), (384, 0.55, 0.83), (512, 0.535, 0.77), (768, 0.50, 0.73), (1024, 0.475, 0.69), (2048, 0.452, 0.65), (3072, 0.438, 0.58), (4096, 0.430, 0.54),
+        (64, 0.70, 1.20), (128, 0.66, 1.08), (256, 0.57, 0.88), (384, 0.55, 0.83), (512, 0.535, 0.77), (768, 0.49, 0.73), (1024, 0.472, 0.69), (2048, 0.452, 0.65), (3072, 0.438, 0.58), (4096, 0.430, 0.54),
         (8192, 0.413, 0.50), (16384, 0.401, 0.49), (32768, 0.390, 0.48), (65536, 0.378, 0.48), (1048576, 0.33, 0.48),
     )
     chunk_bytes: int = 4096
