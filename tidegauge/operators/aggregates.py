@@ -207,7 +207,9 @@ def prediction_sanity(df: DataFrame, target: str, keys: list[str], prediction: s
 
 
 def fold_target_audit(df: DataFrame, target: str, fold: str = "fold_id", limits: tuple[float, ...] = (0.5, 1.0)) -> DataFrame:
-    return df.groupBy(fold).agg(F.count(target).alias("n"), F.min(target).alias("min"), F.max(target).alias("max"), F.percentile(target, F.lit(0.5)).alias("median"), *[F.count(F.when(F.abs(target) > x, 1)).alias(f"n_over_{str(x).replace('.', '_')}") for x in limits])
+    """By fold n, extremes, exact median and the numbers of targets beyond each limit."""
+    d = df.groupBy(fold).agg(F.count(target).alias("n"), F.min(target).alias("min"), F.max(target).alias("max"), *[F.count(F.when(F.abs(target) > x, 1)).alias(f"n_over_{str(x).replace('.', '_')}") for x in limits])
+    return d.join(ordering.exact_quantiles(df, target, [fold], [0.5]), fold, "left").withColumn("median", F.col("q")[0]).drop("q")
 
 
 def train_range_audit(df: DataFrame, target: str, fold: str = "fold_id", split: str = "split", prediction: str = "prediction") -> DataFrame:
