@@ -293,6 +293,17 @@ def test_names_without_a_broadcast(spark, docs, plain, monkeypatch):
     fps = [slow_fingerprint(t) for t in plain["text"]]
     got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs).collect()}
     assert got == dict(zip(plain["doc_id"], slow_components(fps, plain["doc_id"].tolist())))
+    similar = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(docs).collect()}
+    monkeypatch.undo()
+    assert similar == {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(docs).collect()}
+
+
+def test_one_row_of_each_key_stays(spark):
+    rows = [(1, "a b c d e f", 2), (1, "a b c d e f", 1), (None, "n o p q r s", 5), (None, "n o p q r s", 4), (None, "a b c d e f", 9), (7, "x", 3), (8, "x", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    got = simhash_dedup.keep_one_of_each(df).collect()
+    assert sorted([r["doc_id"] or 0, r["n"], r["m"]["k"]] for r in got if r["doc_id"]) == [[1, 1, 1], [7, 3, 1]]
+    assert 4 in {r["n"] for r in got} and df.columns == list(got[0].asDict())
 
 
 def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):

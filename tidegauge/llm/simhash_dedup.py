@@ -458,13 +458,22 @@ def similar_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_
     first = sets.join(fps.select("long_fp", F.col("fp").alias("lead")), "long_fp").join(roots.select(F.col("fp").alias("lead"), "root"), "lead", "left")
     grouped = shared_checkpoint(first.select("fp", "long_fp", "__row", "n", F.coalesce("root", "lead").alias("group")))
     large = grouped.groupBy("group").agg(F.count("*").alias("members"), F.sum(F.coalesce("n", F.lit(0))).alias("characters")).filter("members > 1")
-    wanted = shared_checkpoint(grouped.join(large, "group"))
+    wanted = shared_checkpoint(_with_group(grouped, shared_checkpoint(large), "group"))
     total = wanted.agg(F.sum("n").alias("n")).first()["n"] or 0
     texts = wanted.join(docs.select("__row", F.col("__text").alias("text")), "__row")
     named = _named(sets.select("fp", "low"), verified_forest(texts, total, similarity, most))
     return docs.join(sets.select("long_fp", "digest", "fp").join(named, "fp"), ["long_fp", "digest"]).select(id_col, "long_fp", "component_id")
 
 
+def _with_group(members: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Members (with ``fp``) joined with what is known of their groups, of which any may have any number of members: by
+    a broadcast of a counted table, or over many salts. ``groups`` is checkpointed."""
+    if groups.count() <= NAMES_BROADCAST:
+        return members.join(F.broadcast(groups), key, how)
+    salted = groups.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    return members.withColumn("salt", F.expr(f"CAST(pmod(xxhash64(fp), {SALTS}) AS INT)")).join(salted, [key, "salt"], how).drop("salt")
+
+
 def _named(fps: DataFrame, links: DataFrame) -> DataFrame:
     """(fp, component_id) from (fp, low) and forests of links. A component may have any number of members: its name is
     aggregated before it is shuffled, and members get it by a broadcast of a counted table or over many salts."""
@@ -474,11 +483,7 @@ def _named(fps: DataFrame, links: DataFrame) -> DataFrame:
     names = member.filter("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("least"))
     names = shared_checkpoint(names.join(member.filter("root IS NULL").select(F.col("fp").alias("root"), "low"), "root").select("root", F.least("least", "low").alias("component_id")))
     keyed = member.select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    if names.count() <= NAMES_BROADCAST:
-        joined = keyed.join(F.broadcast(names), "root", "left")
-    else:
-        salted = names.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
-        joined = keyed.withColumn("salt", F.expr(f"CAST(pmod(xxhash64(fp), {SALTS}) AS INT)")).join(salted, ["root", "salt"], "left")
+    joined = _with_group(keyed, names, "root", "left")
     return joined.select("fp", F.coalesce("component_id", "low").alias("component_id"))
 
 
@@ -487,9 +492,12 @@ def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     Rows with a null id stay only where their component has no id at all, one for each different text. Columns of
     ``df`` may have any names."""
     found = find(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", "id", **options)
-    names = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("name")).distinct()
-    sorted_by = [f"`{c}`" for c, kind in df.dtypes if c != id_col and "map<" not in kind and kind != "variant"]
-    rows = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.when(F.col(f"`{id_col}`").isNull(), F.xxhash64(F.col(f"`{text_col}`"))).alias("text"), F.struct(*sorted_by).alias("order"))
-    kept = rows.join(names, F.col("id").eqNullSafe(F.col("name")), "left_semi")
-    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("id", "text").orderBy("order"))).filter("nth = 1")
+    # rows are dealt once, by a key that is never null and that the window keeps to
+    key = lambda c: F.when(c.isNull(), "").otherwise(F.concat(F.lit("="), c.cast("string")))
+    names = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(key(F.col("id")).alias("key")).distinct()
+    id_ = F.col(f"`{id_col}`")
+    rows = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), key(id_).alias("key"), F.when(id_.isNull(), F.xxhash64(F.col(f"`{text_col}`"))).alias("text"))
+    sortable = [c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    order = [F.col("row")] if len(sortable) == len(df.columns) else [F.col("row").getField(c) for c in sortable]
+    kept = rows.join(names, "key", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("key", "text").orderBy(*order))).filter("nth = 1")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
