@@ -83,11 +83,12 @@ def bootstrap_sharpe(df: DataFrame, x: str, order: str, keys: list[str], n_resam
         rng = np.random.default_rng(seed)
         stats = np.empty(n_resamples)
         k = -(-n // size)
-        for i in range(n_resamples):
-            starts = rng.integers(0, n - size + 1, k)
-            s = v[(starts[:, None] + np.arange(size)).ravel()[:n]]
-            sd = s.std(ddof=1)
-            stats[i] = s.mean() / sd * math.sqrt(YEAR) if sd > 0 else 0.0
+        for i in range(0, n_resamples, 100):
+            m = min(100, n_resamples - i)
+            starts = rng.integers(0, n - size + 1, (m, k))
+            s = v[(starts[:, :, None] + np.arange(size)).reshape(m, -1)[:, :n]]
+            sd, mean = s.std(axis=1, ddof=1), s.mean(axis=1)
+            stats[i : i + m] = np.divide(mean, sd, out=np.zeros(m), where=sd > 0) * math.sqrt(YEAR)
         lo95, hi95, lo99, hi99 = np.quantile(stats, [0.025, 0.975, 0.005, 0.995])
         sd = v.std(ddof=1)
         return pd.DataFrame([{**head, "n": n, "sharpe": v.mean() / sd * math.sqrt(YEAR) if sd > 0 else 0.0, "lo95": lo95, "hi95": hi95, "lo99": lo99, "hi99": hi99, "gate": "PASS" if lo95 > 0 else "FAIL"}])
