@@ -144,6 +144,26 @@ def test_columns(spark):
     assert C.select_feature_columns(spark.createDataFrame([(1, 2, 3)], "cand_b int, state_a int, other int")) == ["cand_b", "state_a"]
 
 
+def test_cast_numeric_widens(spark):
+    kinds = lambda values, kind, of: C.cast_numeric(spark.createDataFrame([(v,) for v in values], f"a {of}"), ["a"], kind, widen=True)
+    for values, kind, of, want in [
+        ([-(2**15), None, 2**15 - 1], "int16", "bigint", "smallint"), ([-(2**15) - 1, 0], "int16", "bigint", "int"), ([0, 2**15], "int16", "bigint", "int"), ([2**31, None], "int16", "bigint", "bigint"),
+        ([-5, 70000], "uint16", "bigint", "int"), ([2**31], "uint16", "bigint", "bigint"), ([-1, 2**32], "uint32", "bigint", "bigint"), ([None], "int16", "bigint", "smallint"), ([], "int32", "bigint", "int"),
+        ([1e30, 1.5], "int16", "double", "double"), ([2.0**63], "int64", "double", "double"), ([7, 8], "int64", "int", "bigint"),
+    ]:
+        got = kinds(values, kind, of)
+        assert got.dtypes == [("a", want)], (values, kind)
+        assert sorted((r["a"] for r in got.collect()), key=str) == sorted(values, key=str)
+    assert math.isnan(kinds([float("nan")], "int16", "double").first()["a"])
+    cut = kinds([32767.9, -32768.9], "int16", "double")
+    assert cut.dtypes == [("a", "smallint")] and sorted(r["a"] for r in cut.collect()) == [-32768, 32767]
+    assert kinds(["12"], "int16", "string").first()["a"] == 12  # texts are cast as without it
+    two = C.cast_numeric(spark.createDataFrame([(1, 40000)], "a bigint, b bigint"), ["a", "b"], "int16", widen=True)
+    assert two.dtypes == [("a", "smallint"), ("b", "int")] and tuple(two.first()) == (1, 40000)
+    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+        C.cast_numeric(spark.createDataFrame([(40000,)], "a bigint"), ["a"], "int16").collect()
+
+
 def test_as_of_policies(spark):
     rows = [("A", "2020-01-01", "2020-01-05", 1.0), ("A", "2020-01-03", "2020-01-04", None), ("A", "2020-01-09", "2020-01-20", 9.0), ("B", "2019-01-01", "2019-01-01", 5.0)]
     store = spark.createDataFrame(rows, "symbol string, v string, k string, close double").select("symbol", F.to_date("v").alias("valid_time"), F.to_date("k").alias("knowledge_time"), "close")

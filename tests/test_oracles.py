@@ -44,3 +44,22 @@ def test_oracle(spark, duck, data, name):
             assert np.allclose(x.astype(float), y.astype(float), rtol=1e-9, atol=2e-6, equal_nan=True), c
         else:
             assert ((x == y) | (x.isna() & y.isna())).all(), c
+
+
+@pytest.mark.parametrize("customers", [[-5, 0, None, 32767], [-40000, 0, None, 32768, 65536, 899999]])
+def test_rename_and_cast_of_wide_keys(spark, tmp_path, customers):
+    """Where a customer is beyond SMALLINT, DuckDB's strict cast has no result; all other columns are compared then."""
+    spark.createDataFrame([(i, c, 10.75 + i) for i, c in enumerate(customers)], "o_orderkey bigint, o_custkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    sql, fits = ORACLES["rename_and_cast"], max(c or 0 for c in customers) < 2**15
+    if not fits:
+        with pytest.raises(duckdb.ConversionException):
+            con.execute(sql).fetchall()
+        assert sql.count("SMALLINT") == 1
+        sql = sql.replace("SMALLINT", "BIGINT")
+    got = QUERIES["rename_and_cast"](spark, str(tmp_path))
+    assert dict(got.dtypes)["cust_int16"] == ("smallint" if fits else "int") and dict(got.dtypes)["cust_u16"] == "int"
+    want = con.execute(sql)
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .ordering import codes
 
 #: Fixed names: cast targets and the Spark type that holds them (unsigned ones need the next wider signed type).
 NUMERIC = {"float32": "float", "float64": "double", "int16": "smallint", "int32": "int", "int64": "bigint", "uint16": "int", "uint32": "bigint", "uint64": "decimal(20,0)"}
 UNSIGNED_MAX = {"uint16": 2**16 - 1, "uint32": 2**32 - 1, "uint64": 2**64 - 1}
+#: Fixed: signed types from narrow to wide, with the bound that their values stay below.
+SIGNED_BOUND = {"smallint": 2**15, "int": 2**31, "bigint": 2**63}
 FLOAT32_MAX = 3.4028234663852886e38
 #: Fixed names that market columns come under.
 MARKET_ALIASES = {"date": "timestamp", "datetime": "timestamp", "time": "timestamp", "close": "price", "last": "price", "value": "price"}
@@ -34,17 +37,34 @@ def cast_columns(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
 
 
-def cast_numeric(df: DataFrame, columns: list[str], kind: str = "float32") -> DataFrame:
+def cast_numeric(df: DataFrame, columns: list[str], kind: str = "float32", widen: bool = False) -> DataFrame:
     """Casts to a named numeric type; an unknown name means float32. Unsigned types take 0 up to their maximum only;
-    other values become null."""
+    other values become null. A value that a signed type cannot hold ends the query (ANSI mode).
+
+    With ``widen`` a cast of numbers to integers (not uint64) neither ends the query nor makes nulls: each column takes
+    the narrowest signed type, from the one that holds ``kind`` on, that holds all its values, and stays as it is if
+    none does. For that its least and greatest value are read first, in one pass and as one row."""
     _need(df, columns)
     target = NUMERIC.get(kind, "float")
+    if widen and target in SIGNED_BOUND:
+        numbers = [f.name for f in df.schema if f.name in columns and isinstance(f.dataType, NumericType)]
+        kinds = _holding(df, numbers, target) if numbers else {}
+        df, columns = df.withColumns({c: F.col(c).cast(k) for c, k in kinds.items() if k}), [c for c in columns if c not in kinds]
     if kind in UNSIGNED_MAX:
         within = lambda c: F.col(c).cast("decimal(38,0)").between(0, F.lit(UNSIGNED_MAX[kind]).cast("decimal(38,0)"))
         return df.withColumns({c: F.when(within(c), F.col(c).cast(target)) for c in columns})
     return df.withColumns({c: F.col(c).cast(target) for c in columns})
 
 
+def _holding(df: DataFrame, columns: list[str], target: str) -> dict[str, str | None]:
+    """The narrowest signed type, from ``target`` on, that holds all values of a column less their fractions, or None
+    (also for NaN, which counts as greatest)."""
+    ends = df.agg(*[x(c) for c in columns for x in (F.min, F.max)]).first()
+    kinds = list(SIGNED_BOUND)[list(SIGNED_BOUND).index(target) :]
+    holds = lambda k, low, high: low is None or (-SIGNED_BOUND[k] - 1 < low and high < SIGNED_BOUND[k])
+    return {c: next((k for k in kinds if holds(k, low, high)), None) for c, low, high in zip(columns, ends[::2], ends[1::2])}
+
+
 def promote_categorical(df: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``<c>_code``, the 0-based rank of each distinct value; null has no code. The column itself stays a string:
     dictionaries are the file format's business."""
